@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passage_engine import session
+from passage_engine.llm import mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, to).drop("ids")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passage_engine.llm import agenda_bpe
 
@@ -39,5 +44,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_sentencepiece, op7_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passage_engine.llm import quality
+
+    return quality.train_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passage_engine.llm import line_dedup
+
+    return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "n_removed", "removed_chars", F.to_json("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_mixing, op4_sentencepiece, op7_token_counts, op9_quality, op10_line_dedup)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.MIX_SQL}
