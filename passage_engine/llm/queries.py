@@ -50,6 +50,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passage_engine.llm import minhash
+
+    return minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passage_engine.llm import quality
 
@@ -62,5 +68,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "n_removed", "removed_chars", F.to_json("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_mixing, op4_sentencepiece, op6_fingerprints, op7_token_counts, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op3_mixing, op4_sentencepiece, op6_fingerprints, op7_token_counts, op8_minhash, op9_quality, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.MIX_SQL}
