@@ -20,6 +20,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passage_engine.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passage_engine.llm import token_files
 
@@ -68,5 +74,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "n_removed", "removed_chars", F.to_json("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_mixing, op4_sentencepiece, op6_fingerprints, op7_token_counts, op8_minhash, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_mixing, op4_sentencepiece, op6_fingerprints, op7_token_counts, op8_minhash, op9_quality, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.MIX_SQL}
