@@ -44,6 +44,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agenda_bpe.encode_decode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from passage_engine.llm import suffix_dedup
+
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passage_engine.llm import fingerprints
 
@@ -74,5 +80,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "n_removed", "removed_chars", F.to_json("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_mixing, op4_sentencepiece, op6_fingerprints, op7_token_counts, op8_minhash, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_mixing, op4_sentencepiece, op5_suffix_dedup, op6_fingerprints, op7_token_counts, op8_minhash, op9_quality, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.MIX_SQL}
