@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, component_id (least doc_id of its class), kept (whether its id is that)."""
+    """Per row: doc_id, vertex (a hash of its text), component_id (least doc_id of its class), kept (whether its id is that)."""
     spark = docs.sparkSession
     bound(spark)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -199,11 +199,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     named_first = first.join(parts, first.vertex == parts.id, "left").select("vertex", "doc_id", F.coalesce("component", "vertex").alias("component"))
     least = named_first.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named_first.join(least, "component").select("vertex", "component_id")
-    return members.join(of, "vertex").select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return members.join(of, "vertex").select("doc_id", "vertex", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the least id of their class, one per class; of equal ids with equal texts one stays."""
-    kept = classes(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    return once.join(kept, once[f"`{doc_id}`"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([doc_id, "_tie"]).drop("_tie")
+    kept = classes(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept"), F.col("vertex").alias("_text")).distinct()
+    marked = docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    same = marked[f"`{doc_id}`"].eqNullSafe(kept["_kept"]) & (marked["_tie"] == kept["_text"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([doc_id, "_tie"]).drop("_tie")

@@ -23,11 +23,13 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passage_engine.llm.batches import bound, per_document
+from passage_engine import session
+from passage_engine.llm.batches import per_document
 
 #: Parts of a class covariance taken from the pooled covariance and from the diagonal, and the least variance.
 POOLED, DIAGONAL, FLOOR = 0.05, 0.05, 0.03
@@ -106,22 +108,26 @@ def discriminant(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], d: in
     return Discriminant(prior, means, np.array(inverse), np.array(log_det))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality") -> Discriminant:
-    """Learns from every row of ``labelled`` whose label is 0 or 1."""
-    bound(labelled.sparkSession)
+def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id and the statistics of its whole text. No shuffle."""
+    return per_document(docs, lambda texts: {"stats": [np.array(statistics(t)).tobytes() for t in texts]}, "stats binary", doc_id, text)
+
+
+def fit(labelled: DataFrame, label: str = "label") -> Discriminant:
+    """Learns from every row of statistics (``stats``) whose label is 0 or 1."""
     d = len(NAMES)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: np.zeros(1 + d + d * d) for k in (0, 1)}
         for batch in batches:
-            x = np.array([statistics(t or "") for t in batch.column(0).to_pylist()]).reshape(-1, d)
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, d)
             y = np.array(batch.column(1).to_pylist())
             for k, s in sums.items():
                 own = x[y == k]
                 s += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_pydict({"label": list(sums), "sums": [s.tolist() for s in sums.values()]}, pa.schema([("label", pa.int32()), ("sums", pa.list_(pa.float64()))]))
 
-    pairs = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label")).where("label in (0, 1)")
+    pairs = labelled.select("stats", F.col(f"`{label}`").cast("int").alias("label")).where("label in (0, 1)")
     parts = pairs.mapInArrow(moments, "label int, sums array<double>")
     # One number per class and place: the driver gets 2 * (1 + d + d * d) of them, however many tasks there are.
     total = parts.select("label", F.posexplode("sums").alias("place", "x")).groupBy("label", "place").agg(F.sum("x").alias("x")).collect()
@@ -131,9 +137,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality") -> Disc
     return discriminant({k: (s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)) for k, s in found.items()})
 
 
-def score(docs: DataFrame, model: Discriminant, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id and score (the probability of class 1). No shuffle."""
-    return per_document(docs, lambda texts: {"score": model.scores(np.array([statistics(t) for t in texts])).tolist()}, "score double", doc_id, text)
+def score_column(model: Discriminant):
+    """A function of a text column: the probability of class 1."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array([statistics(t or "") for t in texts]).reshape(-1, len(NAMES))))
+
+    return score
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -141,10 +152,27 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 3 == 1
 
 
-def train_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fits on the labelled rows that are not held out and scores every document."""
+def _trained(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> tuple[Discriminant, DataFrame]:
+    """The model and the statistics of every document; only statistics move to the labels, never texts."""
+    path = session.scratch(docs.sparkSession, "quality-statistics")
+    document_statistics(docs, doc_id, text).write.parquet(path)
+    stats = docs.sparkSession.read.parquet(path)
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label")).where(~held_out("label_id") & F.col("label").isin(0, 1))
-    pair = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    model = fit(pair.join(known, pair.doc_id == known.label_id).select("text", "label"), "text", "label")
-    scored = score(pair, model)
+    return fit(stats.join(known, stats.doc_id == known.label_id).select("stats", "label")), stats
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Discriminant:
+    """Fits on the labelled rows that are not held out."""
+    return _trained(docs, labels, doc_id, text)[0]
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Fits on the labelled rows that are not held out and scores every document: doc_id, held_out, score, predicted."""
+    model, stats = _trained(docs, labels, doc_id, text)
+
+    @F.pandas_udf("double")
+    def score(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.frombuffer(b"".join(rows)).reshape(-1, len(NAMES))))
+
+    scored = stats.select("doc_id", score("stats").alias("score"))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
