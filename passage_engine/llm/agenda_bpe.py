@@ -3,8 +3,9 @@
 The encoder serves merge-type (BPE) models with byte fallback. White space is written as ``▁``, one is put before
 the text, and every character starts as a symbol. All adjacent pairs whose joined text is a piece wait in an agenda
 ordered by score, then by position; the best pair is joined and its new neighbours enter the agenda, until it is
-empty. No piece holds ``▁`` after another character (checked when the model is loaded), so a text falls apart into
-units that begin with ``▁``, each of which is encoded by itself, and a unit met before is taken from a bounded table.
+empty. No piece holds ``▁`` after another character or a line break (checked when the model is loaded), so a text falls
+apart into units that begin with ``▁`` or a line break, each of which is encoded by itself, and a unit met before is
+taken from a bounded table.
 
 Every unit that enters the table is compared with the sentencepiece library's result for it, a batch at a time, and
 so is one whole text per Arrow batch; a difference stops the job.
@@ -19,6 +20,7 @@ import heapq
 import re
 from hashlib import sha256
 from itertools import chain
+from operator import add
 
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -27,9 +29,9 @@ from passage_engine.llm.batches import per_document
 
 SPACE = "▁"
 #: Units kept by a Python worker, and the longest one kept; others are encoded each time.
-TABLE_UNITS, TABLE_CHARS = 400_000, 48
+TABLE_UNITS, TABLE_CHARS = 800_000, 48
 
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_UNIT = re.compile(f"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _models: dict[str, AgendaModel] = {}
 
 
@@ -42,7 +44,7 @@ class AgendaModel:
         self.ids = {library.id_to_piece(i): i for i in normal}
         self.cost = {p: -library.get_score(i) for p, i in self.ids.items() if len(p) > 1}
         self.bytes = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece holds white space after another character; units would not be independent")
         if library.encode(" a") != [*self.encode_unit(SPACE * 2 + "a")]:
             raise ValueError("the model normalises white space; this encoder serves models that keep it")
@@ -52,10 +54,11 @@ class AgendaModel:
         """Ids of a unit, with its ``▁``."""
         cost, symbols, n = self.cost, list(unit), len(unit)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = [(cost[p], i, p) for i in range(n - 1) if (p := unit[i : i + 2]) in cost]
+        push, pop = heapq.heappush, heapq.heappop
+        agenda = [(cost[p], i, p) for i, p in enumerate(map(add, symbols, symbols[1:])) if p in cost]
         heapq.heapify(agenda)
         while agenda:
-            _, i, pair = heapq.heappop(agenda)
+            _, i, pair = pop(agenda)
             left, j = symbols[i], after[i]
             if not left or j >= n or len(left) + len(symbols[j]) != len(pair):
                 continue  # one of the two was joined to another meanwhile
@@ -64,9 +67,9 @@ class AgendaModel:
             if k < n:
                 before[k] = i
                 if (p := pair + symbols[k]) in cost:
-                    heapq.heappush(agenda, (cost[p], i, p))
+                    push(agenda, (cost[p], i, p))
             if (h := before[i]) >= 0 and (p := symbols[h] + pair) in cost:
-                heapq.heappush(agenda, (cost[p], h, p))
+                push(agenda, (cost[p], h, p))
         out: list[int] = []
         for s in symbols:
             if s:
@@ -74,20 +77,23 @@ class AgendaModel:
         return tuple(out)
 
     def encode(self, text: str, fresh: dict[str, tuple[int, ...]]) -> list[tuple[tuple[int, ...], str]]:
-        """(ids, ids in decimal) of each unit; units not met before are added to ``fresh`` for the check."""
+        """(ids, ids in decimal) of each unit; units not met before are added to ``fresh`` for the check.
+
+        A unit is named by what follows its first ``▁``, or by all of it where it begins with a line break.
+        """
         if not text:
             return []
-        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            units = [u[1:] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))]
+        if "  " in text or SPACE in text or text[0] == " ":
+            units = [u[1:] if u[0] == SPACE else u for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))]
         else:
-            units = text.split(" ")  # without the one leading mark that each unit has
+            units = text.replace("\n", " \n").split(" ")
         found = list(map(self.table.get, units))
         if None in found:
             for k, x in enumerate(found):
                 if x is None:
                     u = units[k]
                     if (x := self.table.get(u)) is None:
-                        fresh[u] = ids = self.encode_unit(SPACE + u)
+                        fresh[u] = ids = self.encode_unit(u if u[:1] == "\n" else SPACE + u)
                         x = ids, ",".join(map(str, ids))
                         if len(u) < TABLE_CHARS:
                             self.table[u] = x
@@ -95,11 +101,12 @@ class AgendaModel:
         return found
 
     def check(self, fresh: dict[str, tuple[int, ...]]) -> None:
-        """Compares new units with the library."""
+        """Compares new units with the library, which puts a ``▁`` before each."""
         units = [u for u in fresh if u]  # the library gives an empty text no mark to encode
         theirs = self.library.encode([u.replace(SPACE, " ") for u in units], num_threads=1)
+        mark = self.ids[SPACE]
         for u, ids in zip(units, theirs, strict=True):
-            if tuple(ids) != fresh[u]:
+            if tuple(ids) != (fresh[u] if u[0] != "\n" else (mark, *fresh[u])):
                 raise ValueError(f"the agenda and the sentencepiece library differ on {u!r}")
         if len(self.table) > TABLE_UNITS:
             self.table.clear()
@@ -114,12 +121,9 @@ def model(path: str) -> AgendaModel:
 
 def encode_texts(texts: list[str], path: str) -> list[list[tuple[tuple[int, ...], str]]]:
     """Units of each text, checked against the library."""
-    m, out = model(path), []
-    for text in texts:
-        fresh: dict[str, tuple[int, ...]] = {}
-        out.append(m.encode(text, fresh))
-        if fresh:
-            m.check(fresh)
+    m, fresh = model(path), {}
+    out = [m.encode(text, fresh) for text in texts]
+    m.check(fresh)
     if texts and [*chain.from_iterable(u[0] for u in out[0])] != m.library.encode(texts[0]):
         raise ValueError("the agenda and the sentencepiece library differ on a whole text")
     return out
