@@ -7,7 +7,7 @@ name their shard (a range of doc_id) and place in it, so each is read and decode
 Writing shuffles the texts once, by ranges of doc_id. The position of a document's first id in the whole sequence is
 its place within the segment plus the ids of all segments before, a sum over one short row per segment.
 
-Defined results: a null or empty text has only the end id; equal doc_ids are ordered by text; repeated rows each keep
+Defined results: a null or empty text has only the end id; equal doc_ids are ordered by a hash of the text; repeated rows each keep
 their own place; a document longer than a segment makes one of its own; other columns are ignored.
 """
 
@@ -16,7 +16,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks
 
 SEGMENT_IDS = 1 << 18
 #: Words kept by a Python worker, and the longest one kept.
-TABLE_SIZE, TABLE_CHARS = 400_000, 48
+TABLE_SIZE, TABLE_CHARS = 800_000, 48
 SEGMENT = "shard int, part int, doc_ids array<bigint>, lengths array<int>, n_ids bigint, words binary, offsets binary, escapes binary"
 
 #: White space to Python's split() that the tokenizers library takes for other characters.
@@ -52,31 +54,46 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = "a b\n\n c"
-        one = [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        self.by_word = one == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        probe = "A b,\n\n c."
+        one = [i for w in ("a", "b", ",", "c", ".") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        plain = [x.id for x in self.tokenizer.model.tokenize("abc")] == self.tokenizer.encode("ABC", add_special_tokens=False).ids
+        self.by_word = plain and one == self.tokenizer.encode(probe, add_special_tokens=False).ids
         self.table: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Words of small ASCII letters are pre-tokens as they stand and go to the merges directly; others to the library's whole chain."""
+        out, merges, other = [b""] * len(texts), self.tokenizer.model.tokenize, []
+        for k, t in enumerate(texts):
+            if self.by_word and t.isascii() and t.isalpha() and t.islower():
+                out[k] = array("I", [x.id for x in merges(t)]).tobytes()
+            else:
+                other.append(k)
+        coded = self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False)
+        for k, e in zip(other, coded, strict=True):
+            out[k] = array("I", e.ids).tobytes()
+        return out
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        """A word's parts, which have ids of their own: letters and the mark after them, in lower case where that is sure."""
+        parts = (word[:-1], word[-1]) if word[-1] in ".,!?" and word[:-1].lower().isalpha() else (word,)
+        return tuple(p.lower() if p.isascii() and p.isalpha() else p for p in parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         table, split = self.table, []
         for t in texts:
             split.append(t.split() if self.by_word and not _SEPARATORS.search(t) else [t])
-        new = list(dict.fromkeys(w for words in split for w in words if w not in table))
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        if not fresh:
-            return [b"".join(map(table.__getitem__, words)) for words in split]
-        out = []
-        for words in split:
-            found = list(map(table.get, words))
-            if None in found:
-                found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            out.append(b"".join(found))
-        table.update((w, x) for w, x in fresh.items() if len(w) <= TABLE_CHARS)
+        new = set(chain.from_iterable(split)).difference(table)
+        parts = {w: self._parts(w) if self.by_word and w else (w,) for w in new}
+        wanted = list(set(chain.from_iterable(parts.values())).difference(table))
+        table.update(zip(wanted, self._encode(wanted), strict=True))
+        table.update([(w, b"".join(map(table.__getitem__, ps))) for w, ps in parts.items() if ps != (w,)])
+        out = [b"".join(map(table.__getitem__, words)) for words in split]
         if len(table) > TABLE_SIZE:
             table.clear()
+        elif new:
+            for w in [w for w in new if len(w) > TABLE_CHARS]:
+                del table[w]
         return out
 
 
@@ -115,7 +132,8 @@ def write(docs: DataFrame, to: str, path: str, end_id: int, doc_id: str = "doc_i
             yield pa.RecordBatch.from_pylist([segment(shard, part, ids, parts)], schema)
 
     pair = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    ranged = pair.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # The driver samples ids and hashes to set the ranges, no texts.
+    ranged = pair.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     ranged.mapInArrow(run, SEGMENT).write.parquet(to)
 
 
