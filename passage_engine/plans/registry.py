@@ -1,5 +1,291 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables and their SQL.
+
+The tables stand for a library as follows: documents are documents, their language and source are tags, their time is
+made from the id, documents of two sources are memories; embeddings are passages' vectors, of the document with the same
+id; benchmark passages are queries, whose vectors are those of the same id; a conversation's turns joined are a memory.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passage_engine import session
+from passage_engine.functions import chunking, porter, scoring, text
+from passage_engine.operators import bm25, dense, metadata, metrics
+from passage_engine.plans import oracles, search
+from passage_engine.sources import transfer
 
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return session.ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "embedding")
+    return passages(spark, sf_dir).join(v, "query_id")
+
+
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id",
+        text.safe_filename(F.concat_ws("_", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))).alias("filename"),
+        text.normalize_doc_type(F.when(F.col("source").isin("src1", "src2"), F.lit("Agent Memories")).otherwise(F.lit("docs"))).alias("doc_type"),
+        F.lit("ready").alias("status"),
+        F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("created_at"),
+        text.content_hash("text").alias("content_hash"),
+        (F.floor(F.col("n_chars") / 850) + 1).alias("chunk_count"),
+    )
+
+
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(F.array_distinct(F.array(text.normalize_tag("lang"), text.normalize_tag("source")))).alias("tag"))
+
+
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select(F.col("conv_id").alias("id"), F.array_join("t.text", "\n\n").alias("text"))
+
+
+@query
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.html_text("html").alias("text"))
+
+
+@query
+def ascii_tokens(spark, sf_dir):
+    t = text.tokens("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+@query
+def content_terms(spark, sf_dir):
+    return passages(spark, sf_dir).select("query_id", F.array_join(F.sort_array(text.content_terms("query")), " ").alias("terms"))
+
+
+@query
+def sentence_split(spark, sf_dir):
+    s = text.sentences("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("sentences_md5"))
+
+
+@query
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash("text").alias("content_hash"))
+
+
+@query
+def dedup_lookup(spark, sf_dir):
+    return metadata.duplicates(library(spark, sf_dir))
+
+
+@query
+def library_metadata(spark, sf_dir):
+    return library(spark, sf_dir).select("doc_id", "filename", "doc_type", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "chunk_count")
+
+
+@query
+def documents_with_tags(spark, sf_dir):
+    found = metadata.with_tags(library(spark, sf_dir), tags(spark, sf_dir))
+    return found.select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def list_page(spark, sf_dir):
+    found = metadata.page(metadata.filtered(library(spark, sf_dir), "document", "SRC1"), "name", 50, 20)
+    return found.select("doc_id", "filename")
+
+
+@query
+def list_newest(spark, sf_dir):
+    return metadata.page(metadata.filtered(library(spark, sf_dir), "memory"), "newest", 25).select("doc_id", "filename")
+
+
+@query
+def tag_histogram(spark, sf_dir):
+    return metadata.tag_histogram(tags(spark, sf_dir))
+
+
+@query
+def tag_and(spark, sf_dir):
+    return metadata.having_all_tags(tags(spark, sf_dir), ["EN", " src3 ", "en"])
+
+
+@query
+def since_filter(spark, sf_dir):
+    return metadata.since(library(spark, sf_dir), "2024-01-01T05:00:00")
+
+
+@query
+def scope_intersection(spark, sf_dir):
+    return metadata.scope(library(spark, sf_dir), tags(spark, sf_dir), with_all_tags=["en"], doc_type="docs", from_moment="2024-01-01T02:00:00")
+
+
+@query
+def library_version(spark, sf_dir):
+    return metadata.version(library(spark, sf_dir), tags(spark, sf_dir)).withColumn("latest", F.date_format("latest", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def term_frequencies(spark, sf_dir):
+    terms = bm25.query_terms(passages(spark, sf_dir)).select("term").distinct()
+    docs = texts(spark, sf_dir)
+    n = docs.agg(F.count(F.lit(1)).alias("n_texts"))
+    df = terms.join(bm25.document_frequencies(bm25.postings(docs, terms)), "term", "left").crossJoin(F.broadcast(n))
+    count = F.coalesce("df", F.lit(0))
+    return df.select("term", count.alias("df"), F.round(scoring.bm25_idf(F.col("n_texts"), count), 6).alias("bm25_idf"), F.round(scoring.coverage_idf(F.col("n_texts"), count), 6).alias("coverage_idf"))
+
+
+@query
+def bm25_search(spark, sf_dir):
+    return bm25.search(texts(spark, sf_dir), passages(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def bm25_scoped(spark, sf_dir):
+    scope = metadata.having_all_tags(tags(spark, sf_dir), ["en"]).select(F.col("doc_id").alias("id"))
+    return bm25.search(texts(spark, sf_dir), passages(spark, sf_dir), 5, scope).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def bm25_stemmed(spark, sf_dir):
+    """Both sides folded and stemmed, as the full-text index does."""
+    stemmed = porter.stemmed(F.col("text"))
+    return bm25.search(texts(spark, sf_dir), passages(spark, sf_dir), 10, tokens=stemmed).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def dense_search(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return dense.search(v, q, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def dense_scoped(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return dense.search(v, q, 5, v.where("label in (1, 2, 3)")).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def dense_widths(spark, sf_dir):
+    return dense.mismatched(vectors(spark, sf_dir), 64)
+
+
+@query
+def l2_normalized(spark, sf_dir):
+    e = scoring.l2_normalize(F.col("embedding"))
+    return vectors(spark, sf_dir).select("id", F.round(F.element_at(e, 1), 6).alias("first"), F.round(scoring.dot(e, e), 6).alias("length"))
+
+
+def _hits(spark, sf_dir):
+    q = asked(spark, sf_dir)
+    return dense.search(vectors(spark, sf_dir), q, 50), bm25.search(texts(spark, sf_dir), q, 50)
+
+
+@query
+def convex_fusion(spark, sf_dir):
+    found = search.fused(*_hits(spark, sf_dir))
+    return found.select("query_id", "id", F.round("fused", 6).alias("fused"), "fused_rank")
+
+
+@query
+def rrf_fusion(spark, sf_dir):
+    return search.rrf_fused(*_hits(spark, sf_dir)).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+@query
+def coverage_rerank(spark, sf_dir):
+    """Coverage of each passage's query by the document with the passage's id."""
+    docs, q = texts(spark, sf_dir), passages(spark, sf_dir)
+    weights = bm25.small(search.term_weights(docs, q).join(q, "query_id"))
+    pairs = docs.join(weights, docs.id == weights.query_id)
+    return pairs.select("query_id", F.round(search.coverage(F.col("idf"), F.col("terms"), F.col("query"), F.col("text")), 6).alias("coverage"))
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    found = search.search(texts(spark, sf_dir), asked(spark, sf_dir), search.Settings(top_k=10), vectors(spark, sf_dir).select("id", "embedding"))
+    return found.drop("text")
+
+
+@query
+def hybrid_scoped(spark, sf_dir):
+    scope = metadata.scope(library(spark, sf_dir), tags(spark, sf_dir), with_all_tags=["en"], doc_type="document").select(F.col("doc_id").alias("id"))
+    names = library(spark, sf_dir).select(F.col("doc_id").alias("id"), "filename", "doc_type")
+    found = search.search(texts(spark, sf_dir), asked(spark, sf_dir), search.Settings(top_k=5), vectors(spark, sf_dir).select("id", "embedding"), scope, names)
+    return found.drop("text")
+
+
+@query
+def conversation_memories(spark, sf_dir):
+    return memories(spark, sf_dir).select("id", F.length("text").cast("long").alias("n_chars"), text.content_hash("text").alias("content_hash"))
+
+
+def _known_items(spark, sf_dir):
+    """Conversations found by their first turn: a run and its judgements."""
+    first = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 50 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    return bm25.search(memories(spark, sf_dir), first, 10), first.select("query_id", F.col("query_id").alias("id"))
+
+
+@query
+def retrieval_metrics(spark, sf_dir):
+    run, qrels = _known_items(spark, sf_dir)
+    each = metrics.per_query(run, qrels, 5)
+    return each.select("query_id", *(F.round(c, 6).alias(c) for c in each.columns[1:]))
+
+
+@query
+def retrieval_summary(spark, sf_dir):
+    return metrics.summary(*_known_items(spark, sf_dir), 5)
+
+
+@query
+def latency_stats(spark, sf_dir):
+    return metrics.latency(table(spark, sf_dir, "events"), "value")
+
+
+@query
+def export_library(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.trim("text") != "")
+    rows = metadata.with_tags(library(spark, sf_dir), tags(spark, sf_dir)).join(d.select("doc_id", "text"), "doc_id")
+    return transfer.exported(rows)
+
+
+@query
+def chunks(spark, sf_dir):
+    cut = chunking.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("chunk_id", "doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def document_from_chunks(spark, sf_dir):
+    cut = chunking.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    whole = cut.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "text"))).alias("c"))
+    return whole.select("doc_id", F.size("c").alias("chunk_count"), F.md5(F.array_join("c.text", "\n\n")).alias("text_md5"))
