@@ -54,7 +54,7 @@ def stem(word: str) -> str:
     """Porter's stem; words of fewer than three or more than 64 letters stay as they are."""
     if not 3 <= len(word) <= 64 or not word.isascii():
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if (word.endswith("sses") and len(word) > 4) or (word.endswith("ies") and len(word) > 3):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
