@@ -74,7 +74,7 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     later = repeats.where("doc_id <> first_doc").select("doc_id", "text_hash", "at", "n_chars")
     # Occurrences within the first document: few per digest, as one document holds them all.
     place = W.partitionBy("h1", "h2").orderBy("text_hash", "at")
-    again = repeats.where("doc_id = first_doc").withColumn("place", F.row_number().over(place)).where("place > 1").select("doc_id", "text_hash", "at", "n_chars")
+    again = repeats.where("doc_id = first_doc").withColumn("place", F.dense_rank().over(place)).where("place > 1").select("doc_id", "text_hash", "at", "n_chars")
     return later.unionByName(again).distinct()
 
 
