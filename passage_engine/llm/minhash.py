@@ -7,8 +7,10 @@ shingle with a probability equal to their probability Jaccard similarity J_P, in
 
 Candidates. ``BANDS`` bands of ``ROWS`` registers each give a key; texts that share a key may be near. At J_P = 0.8 a
 pair shares none with a probability of 5e-6. In each key's group every text is first compared with one hub, the member
-met in most groups (the likely origin of near copies), so a group of n takes n - 1 comparisons; all other pairs of the
-group are compared too, but for those whose texts the links found by then already connect. Nothing is capped or left out.
+met in most groups (the likely origin of near copies), so a group of n takes n - 1 comparisons. Groups of one hub that
+the links found so do not connect are compared in full, in pairs of blocks of texts, and hand on only a forest of the
+links they find. There a matrix product bounds J_P first: as a collision probability of two samples it is at most the
+share of either text that both have in common. Nothing is capped or left out.
 
 Verification. J_P of the whole texts, exactly; pairs of ``SIMILARITY`` or more are links, and classes are the links'
 connected components. Copies of one text are one vertex throughout: only ids are kept for them.
@@ -37,6 +39,8 @@ from passage_engine.llm.hashing import mix64, windows
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 52, 7
 REGISTERS = BANDS * ROWS
+#: Texts and characters meant for a block, and columns of the matrix that bounds similarities.
+BLOCK_TEXTS, BLOCK_CHARS, COLUMNS = 1024, 4 << 20, 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -158,6 +162,60 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+def _forest(own: dict[int, str], component: dict[int, int]) -> list[tuple[int, int]]:
+    """Links between texts (by id) of SIMILARITY or more that connect what all such links and the components connect."""
+    names = list(own)
+    number, hashes, weights = shingle_weights([own[k] for k in names])
+    ends = np.searchsorted(number, np.arange(len(names) + 1))
+    sets = [(hashes[s:e], weights[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+    share = weights / np.bincount(number, weights, minlength=len(names))[number]
+    _, column, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    used = count[column] > 1
+    row, place, part = number[used], shared[column[used]], share[used].astype(np.float32)
+    common = np.zeros((len(names), len(names)), np.float32)
+    for k in range(0, int(shared[-1]) + 1 if len(shared) else 0, COLUMNS):
+        i = np.flatnonzero((place >= k) & (place < k + COLUMNS))
+        dense = np.zeros((len(names), COLUMNS), np.float32)
+        dense[row[i], place[i] - k] = part[i]
+        common += dense @ (dense > 0).T.astype(np.float32)
+    parent = {c: c for c in component.values()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    may = np.triu(np.minimum(common, common.T) >= SIMILARITY - 1e-3, 1)
+    for i, j in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
+        a, b = root(component[names[i]]), root(component[names[j]])
+        if a != b and probability_jaccard(sets[i], sets[j]) >= SIMILARITY:
+            parent[max(a, b)] = min(a, b)
+            out.append((names[i], names[j]))
+    return out
+
+
+def _rest(stars: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among the members of hubs (hub, vertex) whose members the parts (id, component) do not connect."""
+    members = stars.unionByName(stars.select("hub", F.col("hub").alias("vertex")).distinct())
+    named = members.join(parts, members.vertex == parts.id, "left").select("hub", "vertex", F.coalesce("component", "vertex").alias("component"))
+    sized = named.join(texts.select(F.col("id").alias("vertex"), F.length("text").alias("size")), "vertex")
+    apart = sized.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).where("a <> b and n > 2")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("chars") / BLOCK_CHARS)).cast("int")
+    placed = named.join(apart.select("hub", blocks.alias("blocks")), "hub").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("vertex").alias("id"), "component")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_pylist()
+        found = _forest(dict(zip(ids, table.column("text").to_pylist(), strict=True)), dict(zip(ids, table.column("component").to_pylist(), strict=True)))
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return pairs.join(texts, "id").groupBy("hub", "i", "j").applyInArrow(compare, "u long, v long")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, vertex (a hash of its text), component_id (least doc_id of its class), kept (whether its id is that)."""
     spark = docs.sparkSession
@@ -175,8 +233,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degree = groups.join(sizes, "key").groupBy("vertex").agg(F.sum("n").alias("degree"))
     hubs = groups.join(degree, "vertex").groupBy("key").agg(F.max(F.struct("degree", "vertex")).alias("hub")).select("key", F.col("hub.vertex").alias("hub"))
-    ordered = (F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    tried = groups.join(hubs, "key").where("vertex <> hub").select(F.col("vertex").alias("x"), F.col("hub").alias("y")).select(*ordered).distinct().checkpoint()
+    stars = groups.join(hubs, "key").where("vertex <> hub").select("hub", "vertex").distinct().checkpoint()
     # One row of each text that is in a group; found by id and text, so copies do not meet in one task.
     first = members.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(groups.select("vertex").distinct(), "vertex")
@@ -184,15 +241,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     text_path = session.scratch(spark, "minhash-texts")
     found.dropDuplicates(["id"]).write.parquet(text_path)
     texts = spark.read.parquet(text_path)
-    links = _verified(tried, texts).checkpoint()
+    links = _verified(stars.select(F.col("vertex").alias("u"), F.col("hub").alias("v")), texts).checkpoint()
     parts = components(links)
-    # The rest of each group: pairs of texts that the links do not connect yet.
-    named = groups.join(parts, groups.vertex == parts.id, "left").select("key", "vertex", F.coalesce("component", "vertex").alias("component"))
-    apart = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b and n > 2").select("key")
-    left = named.join(apart, "key")
-    other = left.select("key", F.col("vertex").alias("v"), F.col("component").alias("v_component"))
-    rest = left.join(other, "key").where("vertex < v and component <> v_component").select(F.col("vertex").alias("u"), "v").distinct()
-    more = _verified(rest.join(tried, ["u", "v"], "left_anti"), texts).checkpoint()
+    more = _rest(stars, parts, texts).checkpoint()
     if not more.isEmpty():
         parts = components(links.unionByName(more))
     # From vertices to documents: the least doc_id of a class names it.
