@@ -16,9 +16,10 @@ from passage_engine.functions import scoring, text
 BROADCAST_ROWS = 200_000
 
 
-def small(side: DataFrame) -> DataFrame:
-    """Marks a side for broadcast if it has few rows."""
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+def small(side: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Marks a side for broadcast if it has few rows: by a bound that its maker knows, or by counting them."""
+    n = side.limit(BROADCAST_ROWS + 1).count() if at_most is None else at_most
+    return F.broadcast(side) if n <= BROADCAST_ROWS else side
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -26,12 +27,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(text.content_terms("query")).alias("term"))
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame | None = None, tokens: Column | None = None, n_terms: int | None = None) -> DataFrame:
     """(id, term, tf, length) of (id, text), for all terms or those of a one-column table."""
     found = docs.select("id", (text.tokens("text") if tokens is None else tokens).alias("tokens"))
     each = found.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
     if terms is not None:
-        each = each.join(small(terms), "term", "left_semi")
+        each = each.join(small(terms, n_terms), "term", "left_semi")
     return each.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -48,13 +49,14 @@ def document_frequencies(entries: DataFrame) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, top_n: int, scope: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the best ``top_n`` texts of each query; equal scores rank by id."""
     terms = query_terms(queries)
-    entries = postings(docs, terms.select("term").distinct(), tokens)
+    n = terms.limit(BROADCAST_ROWS + 1).count()
+    entries = postings(docs, terms.select("term").distinct(), tokens, n)
     stats = document_frequencies(entries).crossJoin(F.broadcast(corpus(docs, tokens)))  # the corpus is one row
     idf = stats.select("term", "mean_length", scoring.bm25_idf(F.col("n_texts"), F.col("df")).alias("idf"))
     if scope is not None:
         entries = entries.join(scope.select("id").distinct(), "id", "left_semi")
     part = scoring.bm25_part(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length"))
-    scored = entries.join(small(idf), "term").select("id", "term", part.alias("part")).join(small(terms), "term")
+    scored = entries.join(small(idf, n), "term").select("id", "term", part.alias("part")).join(small(terms, n), "term")
     total = scored.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     return ranked(total, top_n)
 

@@ -224,7 +224,7 @@ def rrf_fusion(spark, sf_dir):
 def coverage_rerank(spark, sf_dir):
     """Coverage of each passage's query by the document with the passage's id."""
     docs, q = texts(spark, sf_dir), passages(spark, sf_dir)
-    weights = bm25.small(search.term_weights(docs, q).join(q, "query_id"))
+    weights = bm25.small(search.term_weights(docs, q).join(q, "query_id"), q.count())
     pairs = docs.join(weights, docs.id == weights.query_id)
     return pairs.select("query_id", F.round(search.coverage(F.col("idf"), F.col("terms"), F.col("query"), F.col("text")), 6).alias("coverage"))
 

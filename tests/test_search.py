@@ -113,3 +113,11 @@ def test_metrics(spark):
 def test_small_functions(spark):
     r = spark.range(1).select(scoring.gelu(F.lit(1.0)).alias("g"), scoring.sigmoid(F.lit(0.0)).alias("s")).first()
     assert r["g"] == pytest.approx(0.8413447, abs=1e-6) and r["s"] == 0.5
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(20)], "id long, embedding array<double>")
+    q = v.withColumnRenamed("id", "query_id")
+    whole = found(dense.search(v, q, 3))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
+    assert found(dense.search(v, q, 3)) == whole and len(whole) == 20
