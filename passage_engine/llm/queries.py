@@ -31,7 +31,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     to = session.scratch(spark, "token-files")
     token_files.write(_table(spark, sf_dir, "documents"), to, vocabulary("word_bpe_49k.json"), end_id=2)
-    return token_files.read(spark, to).drop("ids")
+    return token_files.read(spark, to, with_ids=False)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

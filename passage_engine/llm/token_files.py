@@ -137,8 +137,8 @@ def write(docs: DataFrame, to: str, path: str, end_id: int, doc_id: str = "doc_i
     ranged.mapInArrow(run, SEGMENT).write.parquet(to)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and ids (array of ints, in order)."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, with ``with_ids``, ids (array of ints, in order)."""
     bound(spark)
     files = spark.read.schema(SEGMENT).parquet(path)
     # One row of three numbers per segment; the window over shards sees one row each.
@@ -155,11 +155,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 raw = memoryview(values.tobytes())
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * len(ends), pa.int32()), pa.array([row["part"]] * len(ends), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), ids],
-                    ["shard", "part", "doc_id", "within", "n_tokens", "ids_crc32", "ids"],
-                )
-
-    read_back = files.mapInArrow(run, "shard int, part int, doc_id long, within long, n_tokens long, ids_crc32 long, ids array<int>")
-    return read_back.join(starts, ["shard", "part"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids")
+                columns = [pa.array([row["shard"]] * len(ends), pa.int32()), pa.array([row["part"]] * len(ends), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "part", "doc_id", "within", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+
+    read_back = files.mapInArrow(run, "shard int, part int, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return read_back.join(starts, ["shard", "part"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
