@@ -118,8 +118,6 @@ def without_boilerplate(c: Column | str) -> Column:
     """The body between a public library's start and end markers, where a text has both in order."""
     text = _col(c)
     start, end = (F.instr(text, f"*** {w} OF THE PROJECT GUTENBERG EBOOK") for w in ("START", "END"))
-    line = F.locate("\n", text, 1)
-    after = F.expr("1").cast("int")
-    after = F.when(start > 0, start + F.instr(F.substring(text, start, F.length(text)), "\n")).otherwise(line)
+    after = start + F.instr(F.substring(text, start, F.length(text)), "\n")
     body = strip(F.substring(text, after, F.greatest(end - after, F.lit(0))))
     return F.when((start > 0) & (end > start) & (body != ""), body).otherwise(text)

@@ -22,7 +22,7 @@ def filtered(docs: DataFrame, doc_type: str | None = None, query: str | None = N
     return docs
 
 
-def ordered(docs: DataFrame, sort: str = "newest") -> list[Column]:
+def ordered(sort: str = "newest") -> list[Column]:
     """Sort keys: newest (also for unknown names), oldest, or name."""
     if sort == "oldest":
         return [F.col("created_at").asc(), F.col("doc_id").asc()]
@@ -35,7 +35,7 @@ def page(docs: DataFrame, sort: str = "newest", limit: int | None = None, offset
     """One page of a sorted list; a negative offset counts as 0, a limit must be from 1 to 500."""
     if limit is not None and not 1 <= limit <= 500:
         raise ValueError("limit must be from 1 to 500")
-    out = docs.orderBy(*ordered(docs, sort))
+    out = docs.orderBy(*ordered(sort))
     if offset > 0:
         out = out.offset(offset)
     return out if limit is None else out.limit(limit)

@@ -162,3 +162,12 @@ FROM pages""",
     "latency_stats": "SELECT count(*) AS count, round(avg(value), 4) AS mean_s, round(quantile_disc(value, 0.5), 4) AS p50_s, round(quantile_disc(value, 0.95), 4) AS p95_s, round(min(value), 4) AS min_s, round(max(value), 4) AS max_s FROM events",
 }
 SQL["library_version"] = f"WITH l AS ({_LIBRARY}), t AS ({_TAGS}) " + SQL["library_version"]
+SQL |= {
+    "normalized_tags": r"SELECT item_id, substr(regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), 1, 64) AS tag FROM benchmark",
+    "safe_filenames": r"""SELECT page_id, f AS filename, CASE WHEN regexp_matches(lower(f), '\.(txt|md|markdown)$') THEN f ELSE f || '.md' END AS title, regexp_matches(lower(f), '\.(txt|md|markdown|rst|org|tex|textile|log|nfo|png|jpg|jpeg|tif|tiff|bmp|webp|pdf|docx|pptx|html|htm|xml|csv|tsv|xlsx|xlsm|xltx|epub|odt|ods|odp|rtf|json)$') AS supported
+FROM (SELECT page_id, trim(regexp_replace(url, '[^\p{L}\p{N}._\- ]', '_', 'g')) AS f FROM pages)""",
+    "list_oldest": f"SELECT doc_id, filename FROM ({_LIBRARY}) ORDER BY created_at, doc_id LIMIT 100 OFFSET 10",
+    "memories_only": "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2')",
+    "id_lookup": f"SELECT doc_id, filename FROM ({_LIBRARY}) WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "extracted_pages": f"SELECT *, '' AS error FROM ({SQL['html_text']})",
+}

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from passage_engine import session
 from passage_engine.functions import chunking, porter, scoring, text
-from passage_engine.operators import bm25, dense, metadata, metrics
+from passage_engine.operators import bm25, dense, embed, metadata, metrics
 from passage_engine.plans import oracles, search
-from passage_engine.sources import transfer
+from passage_engine.sources import extract, transfer
 
 FLAGSHIP = "hybrid_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +289,61 @@ def document_from_chunks(spark, sf_dir):
     cut = chunking.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
     whole = cut.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "text"))).alias("c"))
     return whole.select("doc_id", F.size("c").alias("chunk_count"), F.md5(F.array_join("c.text", "\n\n")).alias("text_md5"))
+
+
+@query
+def normalized_tags(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", text.normalize_tag(F.concat(F.lit("  "), F.col("text"))).alias("tag"))
+
+
+@query
+def safe_filenames(spark, sf_dir):
+    c = text.safe_filename("url")
+    return table(spark, sf_dir, "pages").select("page_id", c.alias("filename"), text.title_filename("url").alias("title"), extract.is_supported(c).alias("supported"))
+
+
+@query
+def list_oldest(spark, sf_dir):
+    return metadata.page(library(spark, sf_dir), "oldest", 100, 10).select("doc_id", "filename")
+
+
+@query
+def memories_only(spark, sf_dir):
+    return metadata.of_type(library(spark, sf_dir), "agent-memory")
+
+
+@query
+def id_lookup(spark, sf_dir):
+    wanted = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return metadata.lookup(library(spark, sf_dir), wanted).select("doc_id", "filename")
+
+
+@query
+def extracted_pages(spark, sf_dir):
+    """The file reader's form of HTML extraction, with all entities."""
+    x = extract.extract(F.lit("page.html"), F.col("html").cast("binary"))
+    return table(spark, sf_dir, "pages").withColumn("x", x).select("page_id", "x.text", "x.error")
+
+
+@query
+def json_strings(spark, sf_dir):
+    x = extract.extract(F.lit("event.json"), F.col("props").cast("binary"))
+    return table(spark, sf_dir, "events").withColumn("x", x).select("event_id", "x.text", "x.error")
+
+
+@query
+def embedded_chunks(spark, sf_dir):
+    cut = chunking.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return embed.reembedded(cut, embed.HashingEmbedder(64)).select("chunk_id", "embedding", "backend")
+
+
+@query
+def search_chunks(spark, sf_dir):
+    """Hybrid search over chunks with the hashing embedder, for the benchmark passages."""
+    e = embed.HashingEmbedder(64)
+    cut = chunking.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("id", F.col("doc_id") * 100000 + F.col("chunk_no"))
+    path = session.scratch(spark, "chunks")
+    cut.select("id", "text", embed.embedding(e, "text").alias("embedding")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    q = passages(spark, sf_dir).withColumn("embedding", embed.embedding(e, "query"))
+    return search.search(stored.select("id", "text"), q, search.Settings(top_k=5), stored.select("id", "embedding")).drop("text")
