@@ -9,8 +9,8 @@ Candidates. ``BANDS`` bands of ``ROWS`` registers each give a key; texts that sh
 pair shares none with a probability of 5e-6. In each key's group every text is first compared with one hub, the member
 met in most groups (the likely origin of near copies), so a group of n takes n - 1 comparisons. Groups of one hub that
 the links found so do not connect are compared in full, in pairs of blocks of texts, and hand on only a forest of the
-links they find. There a matrix product bounds J_P first: as a collision probability of two samples it is at most the
-share of either text that both have in common. Nothing is capped or left out.
+links they find. There posting lists of the block's shingles bound J_P first: as a collision probability of two samples it is
+at most the share of either text that both have in common. Nothing is capped or left out.
 
 Verification. J_P of the whole texts, exactly; pairs of ``SIMILARITY`` or more are links, and classes are the links'
 connected components. Copies of one text are one vertex throughout: only ids are kept for them.
@@ -24,6 +24,7 @@ class's least; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ from passage_engine.llm.hashing import mix64, windows
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 52, 7
 REGISTERS = BANDS * ROWS
-#: Texts and characters meant for a block, and columns of the matrix that bounds similarities.
-BLOCK_TEXTS, BLOCK_CHARS, COLUMNS = 1024, 4 << 20, 4096
+#: Texts and characters meant for a block.
+BLOCK_TEXTS, BLOCK_CHARS = 1024, 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -169,16 +170,10 @@ def _forest(own: dict[int, str], component: dict[int, int]) -> list[tuple[int, i
     ends = np.searchsorted(number, np.arange(len(names) + 1))
     sets = [(hashes[s:e], weights[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
     share = weights / np.bincount(number, weights, minlength=len(names))[number]
-    _, column, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    used = count[column] > 1
-    row, place, part = number[used], shared[column[used]], share[used].astype(np.float32)
-    common = np.zeros((len(names), len(names)), np.float32)
-    for k in range(0, int(shared[-1]) + 1 if len(shared) else 0, COLUMNS):
-        i = np.flatnonzero((place >= k) & (place < k + COLUMNS))
-        dense = np.zeros((len(names), COLUMNS), np.float32)
-        dense[row[i], place[i] - k] = part[i]
-        common += dense @ (dense > 0).T.astype(np.float32)
+    _, column = np.unique(hashes, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    holder, held = number[order], share[order]
+    begin = np.searchsorted(column[order], np.arange(column.max() + 2 if len(column) else 1))
     parent = {c: c for c in component.values()}
 
     def root(c: int) -> int:
@@ -186,20 +181,33 @@ def _forest(own: dict[int, str], component: dict[int, int]) -> list[tuple[int, i
             parent[c] = c = parent[parent[c]]
         return c
 
+    # Texts of the largest component are connected already; every other text is compared with all that may be near it.
+    inside = Counter(component.values())
+    largest = max(inside, key=inside.get, default=None)
     out = []
-    may = np.triu(np.minimum(common, common.T) >= SIMILARITY - 1e-3, 1)
-    for i, j in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
-        a, b = root(component[names[i]]), root(component[names[j]])
-        if a != b and probability_jaccard(sets[i], sets[j]) >= SIMILARITY:
-            parent[max(a, b)] = min(a, b)
-            out.append((names[i], names[j]))
+    for i, name in enumerate(names):
+        if component[name] == largest:
+            continue
+        own_columns = column[ends[i] : ends[i + 1]]
+        size = begin[own_columns + 1] - begin[own_columns]
+        at = np.repeat(begin[own_columns + 1] - np.cumsum(size), size) + np.arange(size.sum())
+        mine = np.bincount(holder[at], np.repeat(share[ends[i] : ends[i + 1]], size), len(names))
+        theirs = np.bincount(holder[at], held[at], len(names))
+        for j in np.flatnonzero(np.minimum(mine, theirs) >= SIMILARITY - 1e-9).tolist():
+            a, b = root(component[name]), root(component[names[j]])
+            if a != b and probability_jaccard(sets[i], sets[j]) >= SIMILARITY:
+                parent[max(a, b)] = min(a, b)
+                out.append((name, names[j]))
     return out
 
 
 def _rest(stars: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among the members of hubs (hub, vertex) whose members the parts (id, component) do not connect."""
     members = stars.unionByName(stars.select("hub", F.col("hub").alias("vertex")).distinct())
-    named = members.join(parts, members.vertex == parts.id, "left").select("hub", "vertex", F.coalesce("component", "vertex").alias("component"))
+    # Hubs of one component make one group, so that two texts meet once however many hubs they share.
+    of_hub = parts.select(F.col("id").alias("hub"), F.col("component").alias("group"))
+    grouped = members.join(of_hub, "hub", "left").select(F.coalesce("group", "hub").alias("hub"), "vertex").distinct()
+    named = grouped.join(parts, grouped.vertex == parts.id, "left").select("hub", "vertex", F.coalesce("component", "vertex").alias("component")).checkpoint()
     sized = named.join(texts.select(F.col("id").alias("vertex"), F.length("text").alias("size")), "vertex")
     apart = sized.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).where("a <> b and n > 2")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("chars") / BLOCK_CHARS)).cast("int")
