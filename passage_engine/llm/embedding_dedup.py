@@ -181,3 +181,23 @@ def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
     linked = marked.select("vec_id", "valid", F.when(F.col("valid"), F.col("h1")).alias("h1"), F.when(F.col("valid"), F.col("h2")).alias("h2")).join(about, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+#: DuckDB SQL for ``near_duplicates`` over embeddings.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98),
+reach AS (
+  SELECT vec_id AS id, vec_id AS r FROM embeddings
+  UNION
+  SELECT reach.id, links.v FROM reach JOIN links ON reach.r = links.u),
+parts AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e JOIN parts p ON p.id = e.vec_id LEFT JOIN counts c ON c.u = e.vec_id
+"""

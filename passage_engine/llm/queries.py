@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passage_engine import session
-from passage_engine.llm import mixing
+from passage_engine.llm import embedding_dedup, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,6 @@ def vocabulary(name: str) -> str:
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from passage_engine.llm import embedding_dedup
-
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
@@ -81,4 +79,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_mixing, op4_sentencepiece, op5_suffix_dedup, op6_fingerprints, op7_token_counts, op8_minhash, op9_quality, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.SQL, "op3_mixing": mixing.MIX_SQL}
