@@ -29,7 +29,7 @@ from passage_engine.llm.batches import per_document
 
 SPACE = "▁"
 #: Units kept by a Python worker, and the longest one kept; others are encoded each time.
-TABLE_UNITS, TABLE_CHARS = 800_000, 48
+TABLE_UNITS, TABLE_CHARS = 300_000, 48
 
 _UNIT = re.compile(f"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _models: dict[str, AgendaModel] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows that a Python worker holds at once; one longer document makes a batch of its own.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 
 def bound(spark: SparkSession) -> None:
