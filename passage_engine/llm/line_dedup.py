@@ -1,9 +1,10 @@
 """Substring dedup by line hashing.
 
-A unit is a line, or a sentence of it: passages pasted into the middle of a line share whole sentences, not lines. Units
-of ``MIN_WORDS`` words or more are normalised (lower case, white space collapsed) and their digests grouped over all
-documents; the occurrence of the lowest rank (doc_id, then the text's hash, then the place in it) is kept and all later
-ones are removed. Results carry the removed spans as offsets into the original text.
+A unit is a whole line, of ``line_words`` words or more, or a sentence of a line, of ``MIN_WORDS`` words or more: passages
+pasted into the middle of a line share whole sentences, not lines. Units are normalised (lower case, white space
+collapsed) and their digests grouped over all documents; the occurrence of the lowest rank (doc_id, then the text's hash,
+then the place in it) is kept and all later ones are removed. Results carry the removed spans, the union of those of all
+units, as offsets into the original text.
 
 Only digests and offsets are shuffled, never texts. The group-by is combined before its shuffle and keeps two numbers per
 digest; only digests that occur twice come back, in a join whose skewed keys Spark splits.
@@ -27,27 +28,41 @@ from pyspark.sql import functions as F
 from passage_engine.llm.batches import bound
 
 MIN_WORDS = 5
-_UNIT = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+_SENTENCE = re.compile(r".+?(?:[.!?]+(?=\s)|\Z)")
 
 
-def units(text: str) -> Iterator[tuple[int, int, bytes]]:
+def units(text: str, line_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(start, length, digest of 16 bytes) of each unit, in characters of the text."""
-    for m in _UNIT.finditer(text):
-        raw = m[0]
-        words = raw.lower().split()
-        if len(words) >= MIN_WORDS:
-            lead = len(raw) - len(raw.lstrip())
-            yield m.start() + lead, len(raw.strip()), blake2b(" ".join(words).encode(), digest_size=16).digest()
-
-
-def _explode(pairs: DataFrame) -> DataFrame:
+    at = 0
+    for line in text.split("\n"):
+        parts = []  # (start, end, words) of the line's sentences
+        for m in _SENTENCE.finditer(line):
+            raw = m[0]
+            if words := raw.lower().split():
+                parts.append((at + m.end() - len(raw.lstrip()), at + m.start() + len(raw.rstrip()), words))
+        at += len(line) + 1
+        if not parts:
+            continue
+        for start, end, words in parts:
+            if len(words) >= MIN_WORDS:
+                yield start, end - start, _digest(words)
+        whole = [w for p in parts for w in p[2]]
+        if len(whole) >= line_words and (len(parts) > 1 or len(whole) < MIN_WORDS):
+            yield parts[0][0], parts[-1][1] - parts[0][0], _digest(whole)
+
+
+def _digest(words: list[str]) -> bytes:
+    return blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
+def _explode(pairs: DataFrame, line_words: int) -> DataFrame:
     """A row per unit: doc_id, text_hash, at, n_chars, h1, h2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, at, size, digests = [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                for start, length, digest in units(text):
+                for start, length, digest in units(text, line_words):
                     which.append(k)
                     at.append(start)
                     size.append(length)
@@ -64,10 +79,10 @@ def _pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
 
 
-def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans to remove: doc_id, text_hash, at, n_chars; offsets are in characters of the original text."""
+def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line_words: int = MIN_WORDS) -> DataFrame:
+    """Spans to remove: doc_id, text_hash, at, n_chars; offsets are in characters of the original text; spans may overlap."""
     bound(docs.sparkSession)
-    found = _explode(_pairs(docs, doc_id, text))
+    found = _explode(_pairs(docs, doc_id, text), line_words)
     # Rank of an occurrence is (doc_id, text_hash, at): the least doc_id first, among its rows the least text and place.
     groups = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").select("h1", "h2", "first_doc")
     repeats = found.join(groups, ["h1", "h2"])
@@ -75,21 +90,28 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # Occurrences within the first document: few per digest, as one document holds them all.
     place = W.partitionBy("h1", "h2").orderBy("text_hash", "at")
     again = repeats.where("doc_id = first_doc").withColumn("place", F.dense_rank().over(place)).where("place > 1").select("doc_id", "text_hash", "at", "n_chars")
-    return later.unionByName(again).distinct()
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_chars, n_removed (units), removed_chars and spans, sorted (start, length)."""
-    base = _pairs(docs, doc_id, text).groupBy("doc_id", "text_hash").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
-    spans = repeated_units(docs, doc_id, text).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("at", "n_chars"))).alias("spans"))
-    joined = base.join(spans, ["doc_id", "text_hash"], "left")
-    none = F.array().cast("array<struct<at:int,n_chars:int>>")
-    return joined.select(
+    return later.unionByName(again)
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line_words: int = MIN_WORDS) -> DataFrame:
+    """Per document: doc_id, n_chars, n_removed (spans), removed_chars and spans, sorted and apart (start, length)."""
+    base = _pairs(docs, doc_id, text).groupBy("doc_id", "text_hash").agg(F.max(F.length("text")).alias("size"))
+    found = repeated_units(docs, doc_id, text, line_words).select("doc_id", "text_hash", "at", (F.col("at") + F.col("n_chars")).alias("end"), F.lit(None).cast("int").alias("size"))
+    rows = found.unionByName(base.withColumns({"at": F.lit(None).cast("int"), "end": F.lit(None).cast("int")}))
+    # A span that starts after all before it end begins a new one; the document's own row, without a span, comes first.
+    order = W.partitionBy("doc_id", "text_hash").orderBy("at", "end")
+    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = rows.withColumn("fresh", (F.col("at").isNotNull() & F.coalesce(F.col("at") > before, F.lit(True))).cast("int"))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    merged = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("at").alias("at"), F.max("end").alias("end"), F.max("size").alias("size"))
+    span = F.when(F.col("at").isNotNull(), F.struct("at", (F.col("end") - F.col("at")).alias("n_chars")))
+    spans = merged.groupBy("doc_id", "text_hash").agg(F.max("size").cast("long").alias("n_chars"), F.sort_array(F.collect_list(span)).alias("spans"))
+    return spans.select(
         "doc_id",
         "n_chars",
-        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["n_chars"]), F.lit(0)).cast("long").alias("removed_chars"),
-        F.coalesce("spans", none).alias("spans"),
+        F.size("spans").cast("long").alias("n_removed"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["n_chars"]).alias("removed_chars"),
+        "spans",
     )
 
 

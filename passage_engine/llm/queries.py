@@ -75,7 +75,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passage_engine.llm import line_dedup
 
-    return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "n_removed", "removed_chars", F.to_json("spans").alias("spans"))
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"), line_words=1).select("doc_id", "n_chars", "n_removed", "removed_chars", F.to_json("spans").alias("spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_files, op3_mixing, op4_sentencepiece, op5_suffix_dedup, op6_fingerprints, op7_token_counts, op8_minhash, op9_quality, op10_line_dedup)}

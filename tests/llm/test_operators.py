@@ -310,3 +310,22 @@ def test_line_dedup(spark, docs, none):
     assert cut(2).split() == other.split() and got[2]["n_removed"] == 2
     assert cut(8).strip() == "" and [got[d]["n_removed"] for d in (4, 5, 6, 7)] == [0] * 4
     assert line_dedup.dedup(docs).where("doc_id is not null").count() >= 12 and line_dedup.dedup(none).count() == 0
+
+
+def cut_texts(spark, rows, **kw):
+    """Each row's text without the removed spans, by id."""
+    got = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect()}
+    spans = {d: [tuple(s) for s in r["spans"]] for d, r in got.items()}
+    assert all(a + n < b for s in spans.values() for (a, n), (b, _) in zip(s, s[1:], strict=False))
+    assert all(r["removed_chars"] == sum(n for _, n in spans[d]) and r["n_removed"] == len(spans[d]) for d, r in got.items())
+    return {d: line_dedup.keep_rest(t or "", spans[d]) for d, t in rows}
+
+
+def test_line_dedup_takes_whole_lines_of_any_length(spark, tmp_path):
+    from passage_engine.llm.queries import QUERIES
+
+    rows = [(1, "Head one.\nAll rights reserved.\nIt is. Of it. No, the one."), (2, "Head two.\nall  rights reserved.\nIt is. Of it. No, the one.\nles."), (3, "It is. les.\nles.")]
+    assert cut_texts(spark, rows, line_words=1) == {1: rows[0][1], 2: "Head two.\n\n\nles.", 3: "It is. les.\n"}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed_chars"] for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: len("all  rights reserved.It is. Of it. No, the one."), 3: len("les.")}
