@@ -1,7 +1,9 @@
 """Substring dedup by line hashing.
 
-A unit is a whole line, of ``line_words`` words or more, or a sentence of a line, of ``MIN_WORDS`` words or more: passages
-pasted into the middle of a line share whole sentences, not lines. Units are normalised (lower case, white space
+A unit is a paragraph (the lines between blank ones) or a line of it, of ``line_words`` words or more, or a sentence of a
+line, of ``MIN_WORDS`` words or more: passages pasted into the middle of a line share whole sentences, not lines. A shorter
+sentence makes a unit with those after it in its line, and one with those before it, that bring it to ``MIN_WORDS``. What
+a passage shares with the text around it in one sentence stays. Units are normalised (lower case, white space
 collapsed) and their digests grouped over all documents; the occurrence of the lowest rank (doc_id, then the text's hash,
 then the place in it) is kept and all later ones are removed. Results carry the removed spans, the union of those of all
 units, as offsets into the original text.
@@ -33,22 +35,51 @@ _SENTENCE = re.compile(r".+?(?:[.!?]+(?=\s)|\Z)")
 
 def units(text: str, line_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(start, length, digest of 16 bytes) of each unit, in characters of the text."""
-    at = 0
+    at, lines = 0, []  # (start, end, words) of the paragraph's lines
     for line in text.split("\n"):
-        parts = []  # (start, end, words) of the line's sentences
+        parts = []  # the same of the line's sentences
         for m in _SENTENCE.finditer(line):
             raw = m[0]
             if words := raw.lower().split():
                 parts.append((at + m.end() - len(raw.lstrip()), at + m.start() + len(raw.rstrip()), words))
         at += len(line) + 1
-        if not parts:
-            continue
-        for start, end, words in parts:
-            if len(words) >= MIN_WORDS:
+        if parts:
+            whole = _joined(parts)
+            found = {p[:2]: p[2] for p in parts if len(p[2]) >= MIN_WORDS} | _with_neighbours(parts)
+            if len(whole[2]) >= line_words:
+                found[whole[:2]] = whole[2]
+            for (start, end), words in found.items():
                 yield start, end - start, _digest(words)
-        whole = [w for p in parts for w in p[2]]
-        if len(whole) >= line_words and (len(parts) > 1 or len(whole) < MIN_WORDS):
-            yield parts[0][0], parts[-1][1] - parts[0][0], _digest(whole)
+            lines.append(whole)
+        if lines and (not parts or at > len(text)):
+            if len(lines) > 1:
+                start, end, words = _joined(lines)
+                if len(words) >= line_words:
+                    yield start, end - start, _digest(words)
+            lines = []
+
+
+def _joined(parts: list[tuple[int, int, list[str]]]) -> tuple[int, int, list[str]]:
+    return parts[0][0], parts[-1][1], [w for p in parts for w in p[2]]
+
+
+def _with_neighbours(parts: list[tuple[int, int, list[str]]]) -> dict[tuple[int, int], list[str]]:
+    """Each short sentence with the fewest that follow it, and with the fewest before it, that make MIN_WORDS words."""
+    found = {}
+    for k, (_, _, words) in enumerate(parts):
+        if len(words) < MIN_WORDS:
+            i, j, n, m = k, k, len(words), len(words)
+            while n < MIN_WORDS and j + 1 < len(parts):
+                j += 1
+                n += len(parts[j][2])
+            while m < MIN_WORDS and i > 0:
+                i -= 1
+                m += len(parts[i][2])
+            for size, run in ((n, parts[k : j + 1]), (m, parts[i : k + 1])):
+                if size >= MIN_WORDS:
+                    start, end, both = _joined(run)
+                    found[start, end] = both
+    return found
 
 
 def _digest(words: list[str]) -> bytes:

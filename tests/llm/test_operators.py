@@ -329,3 +329,11 @@ def test_line_dedup_takes_whole_lines_of_any_length(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["removed_chars"] for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {1: 0, 2: len("all  rights reserved.It is. Of it. No, the one."), 3: len("les.")}
+
+
+def test_line_dedup_takes_passages_with_short_sentences(spark):
+    passage = "The keeper lit the old lamp. Dusk fell. The storm took both sails. Ropes held."
+    rows = [(1, f"Some own words come before it. {passage} And more words follow it here."), (2, f"Quite other words stand in front. {passage} Then something else comes after it."), (3, "First line of a\nwrapped paragraph.\n\nTail one."), (4, "First line\nof a wrapped\nparagraph.\n\nTail two.")]
+    got = cut_texts(spark, rows)
+    assert got[1] == rows[0][1] and got[2].split() == "Quite other words stand in front. Then something else comes after it.".split()
+    assert got[3] == rows[2][1] and got[4] == "\n\nTail two."
