@@ -8,11 +8,12 @@ collapsed) and their digests grouped over all documents; the occurrence of the l
 then the place in it) is kept and all later ones are removed. Results carry the removed spans, the union of those of all
 units, as offsets into the original text.
 
-Only digests and offsets are shuffled, never texts. The group-by is combined before its shuffle and keeps two numbers per
+Only digests and offsets are shuffled, never texts. The group-by is combined before its shuffle and keeps three numbers per
 digest; only digests that occur twice come back, in a join whose skewed keys Spark splits.
 
 Defined results: a null or empty text has no units; rows that repeat an id and its text are one document; rows with one
-id and unequal texts are separate documents ordered by the text's hash; other columns are ignored.
+id and unequal texts are separate documents ordered by the text's hash; null ids are one id, which ranks last; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,13 +115,16 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Spans to remove: doc_id, text_hash, at, n_chars; offsets are in characters of the original text; spans may overlap."""
     bound(docs.sparkSession)
     found = _explode(_pairs(docs, doc_id, text), line_words)
-    # Rank of an occurrence is (doc_id, text_hash, at): the least doc_id first, among its rows the least text and place.
-    groups = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").select("h1", "h2", "first_doc")
+    # Rank of an occurrence is (doc_id, text_hash, at): the least doc_id first, null last, among its rows the least text and place.
+    first_text = F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_text")
+    groups = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), first_text).where("n > 1").drop("n")
     repeats = found.join(groups, ["h1", "h2"])
-    later = repeats.where("doc_id <> first_doc").select("doc_id", "text_hash", "at", "n_chars")
+    # Without a first id, the least text is the first document.
+    same = F.expr("doc_id <=> first_doc AND (doc_id IS NOT NULL OR text_hash = first_text)")
+    later = repeats.where(~same).select("doc_id", "text_hash", "at", "n_chars")
     # Occurrences within the first document: few per digest, as one document holds them all.
     place = W.partitionBy("h1", "h2").orderBy("text_hash", "at")
-    again = repeats.where("doc_id = first_doc").withColumn("place", F.dense_rank().over(place)).where("place > 1").select("doc_id", "text_hash", "at", "n_chars")
+    again = repeats.where(same).withColumn("place", F.dense_rank().over(place)).where("place > 1").select("doc_id", "text_hash", "at", "n_chars")
     return later.unionByName(again)
 
 

@@ -337,3 +337,13 @@ def test_line_dedup_takes_passages_with_short_sentences(spark):
     got = cut_texts(spark, rows)
     assert got[1] == rows[0][1] and got[2].split() == "Quite other words stand in front. Then something else comes after it.".split()
     assert got[3] == rows[2][1] and got[4] == "\n\nTail two."
+
+
+def test_line_dedup_ranks_null_ids_last(spark):
+    line, other = "This line is repeated in many documents.", "Another one with five words."
+    rows = [(None, f"{line} {other}"), (None, f"{other} And one more that is long."), (1, line)]
+    got = {r["n_chars"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = {n: line_dedup.keep_rest(t, [tuple(s) for s in got[n]["spans"]]).strip() for n, t in ((len(t), t) for _, t in rows)}
+    assert len(got) == 3 and left[len(line)] == line
+    pair = left[len(rows[0][1])], left[len(rows[1][1])]
+    assert pair in ((other, "And one more that is long."), ("", rows[1][1]))
