@@ -49,8 +49,8 @@ def sample(term: str, log_weight: str, k: int) -> str:
     """SQL for the k-th sample's value at a term: ln c - r (t - b) - r."""
     u = [_uniform(term, 5 * k + j) for j in range(5)]
     r, log_c, b = f"(-ln({u[0]} * {u[1]}))", f"ln(-ln({u[2]} * {u[3]}))", u[4]
-    # A weight of 1 has t = 0.
-    return f"CASE WHEN {log_weight} = 0.0D THEN {log_c} + {r} * ({b} - 1.0D) ELSE {log_c} - {r} * (floor({log_weight} / {r} + {b}) - {b}) - {r} END"
+    # One expression for all weights: equal t must give equal doubles, as the value stands for (term, t).
+    return f"{log_c} - {r} * (floor({log_weight} / {r} + {b}) - {b}) - {r}"
 
 
 def _ranged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

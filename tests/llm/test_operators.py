@@ -347,3 +347,9 @@ def test_line_dedup_ranks_null_ids_last(spark):
     assert len(got) == 3 and left[len(line)] == line
     pair = left[len(rows[0][1])], left[len(rows[1][1])]
     assert pair in ((other, "And one more that is long."), ("", rows[1][1]))
+
+
+def test_sample_of_equal_t_is_one_value_whatever_the_weight(spark):
+    k, w = 3, 1.0 + 1e-9  # a weight so near to 1 that t stays 0
+    rows = spark.range(2000).select(F.expr(fingerprints.sample("id", "0.0D", k)).alias("one"), F.expr(fingerprints.sample("id", f"{float(np.log(w))!r}D", k)).alias("more"))
+    assert rows.where("one <> more").count() == 0
