@@ -19,7 +19,8 @@ Texts move once, and only from there on those in candidate pairs; otherwise ids
 
 Defined results: null and empty texts are copies of each other, near nothing else; rows that repeat an id each get their
 row, with the class of their own text; equal texts are always in one class; of equal ids the row is kept if its id is the
-class's least; other columns are ignored.
+class's least; null ids rank last: a class that holds nothing else has a null component_id, and of its texts the one of the
+least hash is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -245,7 +246,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # One row of each text that is in a group; found by id and text, so copies do not meet in one task.
     first = members.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(groups.select("vertex").distinct(), "vertex")
-    found = rows.join(wanted, ["vertex", "doc_id"]).select(F.col("vertex").alias("id"), "text")
+    chosen = wanted.select(F.col("vertex").alias("id"), F.col("doc_id").alias("first_id"))
+    found = rows.join(chosen, (rows.vertex == chosen.id) & rows.doc_id.eqNullSafe(chosen.first_id)).select("id", "text")
     text_path = session.scratch(spark, "minhash-texts")
     found.dropDuplicates(["id"]).write.parquet(text_path)
     texts = spark.read.parquet(text_path)
@@ -257,8 +259,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # From vertices to documents: the least doc_id of a class names it.
     named_first = first.join(parts, first.vertex == parts.id, "left").select("vertex", "doc_id", F.coalesce("component", "vertex").alias("component"))
     least = named_first.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = named_first.join(least, "component").select("vertex", "component_id")
-    return members.join(of, "vertex").select("doc_id", "vertex", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of = named_first.join(least, "component").select("vertex", "component", "component_id")
+    # A class of null ids alone has no least id; its component is the least vertex.
+    kept = F.expr("doc_id <=> component_id AND (doc_id IS NOT NULL OR vertex = component)")
+    return members.join(of, "vertex").select("doc_id", "vertex", "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -353,3 +353,14 @@ def test_sample_of_equal_t_is_one_value_whatever_the_weight(spark):
     k, w = 3, 1.0 + 1e-9  # a weight so near to 1 that t stays 0
     rows = spark.range(2000).select(F.expr(fingerprints.sample("id", "0.0D", k)).alias("one"), F.expr(fingerprints.sample("id", f"{float(np.log(w))!r}D", k)).alias("more"))
     assert rows.where("one <> more").count() == 0
+
+
+def test_minhash_of_null_ids(spark):
+    a, b = prose(21, 200), prose(22, 200)
+    near_a, near_b = a.rsplit(" ", 1)[0] + " zzz", b.rsplit(" ", 1)[0] + " zzz"
+    rows = [(1, a), (None, near_a), (None, b), (None, near_b), (None, b), (2, prose(23, 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.classes(df).where("doc_id is not null or component_id is not null").collect())
+    assert got == Counter([(1, 1, True), (None, 1, False), (2, 2, True)])
+    kept = [r["text"] for r in minhash.keep_one(df).collect()]
+    assert len(kept) == 3 and {a, rows[-1][1]} < set(kept) and set(kept) & {b, near_b}
