@@ -121,3 +121,12 @@ def test_dense_in_blocks(spark, monkeypatch):
     whole = found(dense.search(v, q, 3))
     monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
     assert found(dense.search(v, q, 3)) == whole and len(whole) == 20
+
+
+def test_by_pairs_serves_all_queries(spark, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rng.normal(size=(30, 4)))], "id long, embedding array<double>")
+    q = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rng.normal(size=(10, 4)))], "query_id long, embedding array<double>")
+    got = found(dense.by_pairs(v, q, 5))
+    assert len(got) == 10 and got == found(dense.search(v, q, 5))
