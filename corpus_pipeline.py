@@ -13,6 +13,10 @@ from passage_engine import session
 from passage_engine.llm import agenda_bpe, minhash, mixing, quality, suffix_dedup
 from passage_engine.llm.queries import vocabulary
 
+#: Bytes of a passage of 50 words of three letters and a space: shorter shared strings are common phrases. The query of
+#: the operator alone has its own, longer match.
+PASSAGE_BYTES = 200
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of documents that are here and not held out; documents below a score of 0.5 go."""
@@ -28,9 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice are cut out; every document stays, with what is left of it."""
+    """Strings of PASSAGE_BYTES that occur twice are cut out; every document stays, with what is left of it."""
     session.ship(spark)
-    kept = suffix_dedup.without_repeats(docs)
+    kept = suffix_dedup.without_repeats(docs, match=PASSAGE_BYTES)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
