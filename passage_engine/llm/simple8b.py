@@ -17,8 +17,13 @@ _COUNTS = np.array([n for n, _ in SELECTORS] + [1], np.int64)
 _PAD = max(n for n, _ in SELECTORS)
 
 
+_SHORT = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value."""
+    if not len(values) or values.max() < len(_SHORT):
+        return _SHORT[values]
     out = np.zeros(values.shape, np.uint8)
     rest = values.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -50,7 +55,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     choice = np.full(width.shape, ESCAPE, np.uint8)
     for s in range(len(SELECTORS) - 1, -1, -1):
         k, bits = SELECTORS[s]
-        choice[runs[k] <= bits] = s
+        np.copyto(choice, np.uint8(s), where=runs[k] <= bits)
     # Follow each block's chain of words, all blocks a step at a time.
     length = np.minimum(BLOCK, n - BLOCK * np.arange(blocks))
     at, live, steps = np.zeros(blocks, np.int64), np.arange(blocks), []

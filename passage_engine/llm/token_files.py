@@ -13,15 +13,17 @@ their own place; a document longer than a segment makes one of its own; other co
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,66 +36,97 @@ from passage_engine.llm.batches import bound
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
 
 SEGMENT_IDS = 1 << 18
-#: Words kept by a Python worker, and the longest one kept.
-TABLE_SIZE, TABLE_CHARS = 600_000, 48
+#: Words kept by a Python worker, those of them that stay when the table is full, and the longest one kept.
+TABLE_SIZE, TABLE_STAYS, TABLE_CHARS = 800_000, 400_000, 48
 SEGMENT = "shard int, part int, doc_ids array<bigint>, lengths array<int>, n_ids bigint, words binary, offsets binary, escapes binary"
 
 #: White space to Python's split() that the tokenizers library takes for other characters.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Byte-level vocabularies write a byte that is no printable character as one from 256 on, in the bytes' order.
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _word_rule(path: str) -> regex.Pattern | None:
+    """The pattern of pre-tokens of a vocabulary that tidies, lowers and splits as the encoder below does; None for others."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    level = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest]
+    if steps != ["NFC", "Replace", "Lowercase"] or level != [("ByteLevel", False, False)] or not (split.get("invert") and split.get("behavior") == "Removed"):
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
+class _Words(dict):
+    """Ids of words; a word that is missing is encoded when it is first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= TABLE_CHARS:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids, as bytes of little-endian unsigned 32-bit integers, for vocabularies that drop white space.
 
     Their pre-tokenizer never joins what stands on both sides of white space, so a text's ids are its words' ids, and a
-    word met before is taken from a bounded table.
+    word met before is taken from a bounded table. Words of Latin-1 characters, which the normaliser only lowers, are cut
+    by the vocabulary's own pattern and go to the merges directly; others go through the library's whole chain.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = "A b,\n\n c."
-        one = [i for w in ("a", "b", ",", "c", ".") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        plain = [x.id for x in self.tokenizer.model.tokenize("abc")] == self.tokenizer.encode("ABC", add_special_tokens=False).ids
-        self.by_word = plain and one == self.tokenizer.encode(probe, add_special_tokens=False).ids
-        self.table: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        """Words of small ASCII letters are pre-tokens as they stand and go to the merges directly; others to the library's whole chain."""
-        out, merges, other = [b""] * len(texts), self.tokenizer.model.tokenize, []
-        for k, t in enumerate(texts):
-            if self.by_word and t.isascii() and t.isalpha() and t.islower():
-                out[k] = array("I", [x.id for x in merges(t)]).tobytes()
-            else:
-                other.append(k)
-        coded = self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False)
-        for k, e in zip(other, coded, strict=True):
-            out[k] = array("I", e.ids).tobytes()
-        return out
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """A word's parts, which have ids of their own: letters and the mark after them, in lower case where that is sure."""
-        parts = (word[:-1], word[-1]) if word[-1] in ".,!?" and word[:-1].lower().isalpha() else (word,)
-        return tuple(p.lower() if p.isascii() and p.isalpha() else p for p in parts)
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.rule, self.merges = _word_rule(path), self.tokenizer.model.tokenize
+        self.table = _Words(self._encode)
+        probe = "A b,\n\n c. d'Été's 3\u00bd <x_y>"
+        whole = self._whole(probe)
+        if self.rule and (any(map(str.isalpha, self.special)) or b"".join(map(self._encode, probe.split())) != whole):
+            self.rule = None
+        self.by_word = b"".join(map(self._whole, probe.split())) == whole
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _encode(self, word: str) -> bytes:
+        if not self.rule:
+            return self._whole(word)
+        if word.isascii():
+            if word.islower() and word.isalpha():
+                return array("I", [x.id for x in self.merges(word)]).tobytes()
+        else:
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                return self._whole(word)
+        low = word.lower()
+        if low.isalpha():
+            return self._merged(low) if low == word else self.table[low]
+        if any(s in word for s in self.special):
+            return self._whole(word)
+        parts = self.rule.findall(low)
+        return self._merged(low) if parts == [word] else b"".join(map(self.table.__getitem__, parts))
+
+    def _merged(self, part: str) -> bytes:
+        symbols = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array("I", [x.id for x in self.merges(symbols)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        table, split = self.table, []
-        for t in texts:
-            split.append(t.split() if self.by_word and not _SEPARATORS.search(t) else [t])
-        new = set(chain.from_iterable(split)).difference(table)
-        parts = {w: self._parts(w) if self.by_word and w else (w,) for w in new}
-        wanted = list(set(chain.from_iterable(parts.values())).difference(table))
-        table.update(zip(wanted, self._encode(wanted), strict=True))
-        table.update([(w, b"".join(map(table.__getitem__, ps))) for w, ps in parts.items() if ps != (w,)])
-        out = [b"".join(map(table.__getitem__, words)) for words in split]
-        if len(table) > TABLE_SIZE:
-            table.clear()
-        elif new:
-            for w in [w for w in new if len(w) > TABLE_CHARS]:
-                del table[w]
+        get = self.table.__getitem__
+        out = [b"".join(map(get, t.split())) if self.by_word and not _SEPARATORS.search(t) else self._whole(t) for t in texts]
+        if len(self.table) > TABLE_SIZE:
+            # Words met first are mostly the frequent ones.
+            for w in [*islice(self.table, TABLE_STAYS, None)]:
+                del self.table[w]
         return out
 
 
