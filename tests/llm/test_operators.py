@@ -103,7 +103,8 @@ def test_sentencepiece(docs, none):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"])
-def test_token_counts(docs, none, name):
+def test_token_counts(docs, none, name, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK_CHARS", 700)
     path = vocabulary(name)
     if name.endswith(".model"):
         import sentencepiece
@@ -118,6 +119,23 @@ def test_token_counts(docs, none, name):
     assert token_counts.token_counts(none, path).count() == 0
 
 
+def test_pre_tokens_are_counted_once_and_add_up(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "BLOCK_CHARS", 40)
+    path = vocabulary("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    r = random.Random(8)
+    parts = ["the", "tide", "don't", " ", "  ", "\n", "é", "<|endoftext|>", "12", "日本", "...", "a" * 60]
+    rows = [(k % 50, " ".join(r.choice(parts) for _ in range(r.randrange(9)))) for k in range(400)] + [(None, " "), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((x["doc_id"], x["n_tokens"]) for x in token_counts.token_counts(df, path).collect())
+    assert got == Counter((d, len(tk.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+    # Each distinct pre-token is counted in one bucket, once.
+    counted = token_counts.pieces(token_counts.frequencies(df), path, 5).groupBy("bucket").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0]
+    assert counted == len({p for _, t in rows for p in token_counts.pre_tokens(t or "")})
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(TEXTS)
