@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-_VOWEL = "[aeiou]"
 # Fixed values of Porter's algorithm (Porter 1980), steps 2 to 4: suffix and replacement.
 STEP_2 = dict(
     ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", logi="log", bli="ble", alli="al", entli="ent", eli="e", ousli="ous",
@@ -102,3 +101,9 @@ def index_tokens(text: str | None) -> list[str]:
 def stemmed(texts: pd.Series) -> pd.Series:
     """Index tokens of a text column."""
     return texts.map(index_tokens)
+
+
+@F.pandas_udf(StringType())
+def stem_of(words: pd.Series) -> pd.Series:
+    """Stems of a column of words."""
+    return words.map(lambda w: stem(fold(w)) if w is not None else None)

@@ -58,14 +58,7 @@ def rrf(*ranks: Column) -> Column:
     return sum((F.coalesce(1 / (RRF_K + r), F.lit(0.0)) for r in ranks), F.lit(0.0))
 
 
-def gelu(x: Column) -> Column:
-    """x Φ(x), by Abramowitz and Stegun's approximation of the error function (7.1.26, error below 2e-7)."""
-    z = F.abs(x) / 2**0.5
-    t = 1 / (1 + 0.3275911 * z)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = F.signum(x) * (1 - poly * F.exp(-z * z))
-    return x * (1 + erf) / 2
-
-
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
+def relative(score: Column, *by: str) -> Column:
+    """Scores as shares of their group's largest one; 0 where that is not positive."""
+    most = F.max(score).over(W.partitionBy(*by))
+    return F.when(most > 0, F.coalesce(score, F.lit(0.0)) / most).otherwise(F.lit(0.0))

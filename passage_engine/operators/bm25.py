@@ -1,7 +1,12 @@
 """BM25 retrieval for a table of queries.
 
+An index is a table (id, term, tf, length) with one more row per text, whose term is empty: it holds the text's length, so
+the number of texts and their mean length come from the same table as the postings. One pass over the texts makes it,
+for all terms (``library`` stores it) or for the terms of the queries at hand (``search`` writes it to the shared folder
+and reads everything else from there).
+
 Global statistics (number of texts, mean length, document frequencies) cover all texts; a scope only limits what is
-returned. Query terms are few and of checked size, so postings are made only for them, in one pass over the texts.
+returned.
 """
 
 from __future__ import annotations
@@ -9,55 +14,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from passage_engine.functions import scoring, text
+from passage_engine import session
+from passage_engine.functions import porter, scoring, text
 
-#: Rows of a small side that are sent to all executors; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of strings of a small side that is sent to all executors; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def small(side: DataFrame, at_most: int | None = None) -> DataFrame:
-    """Marks a side for broadcast if it has few rows: by a bound that its maker knows, or by counting them."""
-    n = side.limit(BROADCAST_ROWS + 1).count() if at_most is None else at_most
-    return F.broadcast(side) if n <= BROADCAST_ROWS else side
+    """Marks a side for broadcast if it is small: by a bound on its rows, which then hold ids and numbers alone, or by
+    counting its rows and the bytes of its strings.
+    """
+    if at_most is not None:
+        return F.broadcast(side) if at_most <= BROADCAST_ROWS else side
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in side.schema if isinstance(f.dataType, StringType)), F.lit(0).cast("long"))
+    n, held = side.select(size.alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(side) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else side
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term) of (query_id, query); a term once per query."""
-    return queries.select("query_id", F.explode(text.content_terms("query")).alias("term"))
+def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
+    """(query_id, place, term, key): a query's content terms once each, and what they are looked up by."""
+    terms = queries.select("query_id", F.posexplode(text.content_terms("query")).alias("place", "term"))
+    return terms.withColumn("key", porter.stem_of("term") if stem else F.col("term"))
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, tokens: Column | None = None, n_terms: int | None = None) -> DataFrame:
-    """(id, term, tf, length) of (id, text), for all terms or those of a one-column table."""
+def index(docs: DataFrame, keys: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
+    """The index of (id, text), with all terms or those of a one-column table ``key``."""
     found = docs.select("id", (text.tokens("text") if tokens is None else tokens).alias("tokens"))
-    each = found.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        each = each.join(small(terms, n_terms), "term", "left_semi")
-    return each.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    each = found.select("id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    if keys is not None:
+        wanted = keys.select(F.col("key").alias("term")).distinct()
+        each = each.join(small(wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
+    return each.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "length")
+
+
+def stored(found: DataFrame) -> DataFrame:
+    """The index, written to the shared folder and read from there: the texts are not read again for each use."""
+    path = session.scratch(found.sparkSession, "index")
+    found.write.parquet(path)
+    return found.sparkSession.read.parquet(path)
+
+
+def postings(found: DataFrame) -> DataFrame:
+    """(id, term, tf, length) of an index, without the texts' own rows."""
+    return found.where("term <> ''")
+
+
+def corpus(found: DataFrame) -> DataFrame:
+    """One row of an index: n_texts and mean_length."""
+    return found.where("term = ''").agg(F.count(F.lit(1)).alias("n_texts"), F.avg("length").alias("mean_length"))
+
+
+def document_frequencies(found: DataFrame) -> DataFrame:
+    return postings(found).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
 
+def search(docs: DataFrame, queries: DataFrame, top_n: int, scope: DataFrame | None = None, stem: bool = False) -> DataFrame:
+    """(query_id, id, score, rank) of the best ``top_n`` texts of each query; equal scores rank by id.
 
-def corpus(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """One row: n_texts and mean_length."""
-    length = F.size(text.tokens("text") if tokens is None else tokens)
-    return docs.agg(F.count(F.lit(1)).alias("n_texts"), F.avg(length).alias("mean_length"))
+    With ``stem`` both sides are folded and stemmed, as a full-text index does.
+    """
+    terms = query_terms(queries, stem)
+    return search_index(index_for(docs, terms, stem), terms, top_n, scope)
 
 
-def document_frequencies(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def index_for(docs: DataFrame, terms: DataFrame, stem: bool = False) -> DataFrame:
+    """The stored index of the texts for the keys of ``terms``."""
+    return stored(index(docs, terms.select("key"), porter.stemmed("text") if stem else None))
 
 
-def search(docs: DataFrame, queries: DataFrame, top_n: int, scope: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of the best ``top_n`` texts of each query; equal scores rank by id."""
-    terms = query_terms(queries)
-    n = terms.limit(BROADCAST_ROWS + 1).count()
-    entries = postings(docs, terms.select("term").distinct(), tokens, n)
-    stats = document_frequencies(entries).crossJoin(F.broadcast(corpus(docs, tokens)))  # the corpus is one row
+def search_index(found: DataFrame, terms: DataFrame, top_n: int, scope: DataFrame | None = None) -> DataFrame:
+    """``search`` of an index for the terms (query_id, key)."""
+    entries = postings(found)
+    stats = document_frequencies(found).crossJoin(F.broadcast(corpus(found)))  # the corpus is one row
     idf = stats.select("term", "mean_length", scoring.bm25_idf(F.col("n_texts"), F.col("df")).alias("idf"))
+    # A query counts a term as often as its own terms lead to it.
+    weights = terms.groupBy("query_id", F.col("key").alias("term")).agg(F.count(F.lit(1)).alias("times"))
     if scope is not None:
         entries = entries.join(scope.select("id").distinct(), "id", "left_semi")
-    part = scoring.bm25_part(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length"))
-    scored = entries.join(small(idf, n), "term").select("id", "term", part.alias("part")).join(small(terms, n), "term")
-    total = scored.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    wanted = small(weights.join(idf, "term"))
+    part = scoring.bm25_part(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")) * F.col("times")
+    total = entries.join(wanted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     return ranked(total, top_n)
 
 

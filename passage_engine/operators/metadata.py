@@ -7,7 +7,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passage_engine.functions import text
@@ -49,8 +48,8 @@ def lookup(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame) -> DataFrame:
     """(content_hash, doc_type, doc_id) of the newest document of each hash and type; empty hashes and missing files never match."""
     usable = docs.where((F.col("content_hash") != "") & (F.col("status") != "missing"))
-    newest = W.partitionBy("content_hash", "doc_type").orderBy(F.col("created_at").desc(), F.col("doc_id").desc())
-    return usable.withColumn("place", F.row_number().over(newest)).where("place = 1").select("content_hash", "doc_type", "doc_id")
+    newest = F.max(F.struct("created_at", "doc_id"))["doc_id"]
+    return usable.groupBy("content_hash", "doc_type").agg(newest.alias("doc_id"))
 
 
 def with_tags(docs: DataFrame, tags: DataFrame) -> DataFrame:
@@ -106,3 +105,19 @@ def version(docs: DataFrame, tags: DataFrame) -> DataFrame:
     a = docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("long").alias("chunks"), F.max("created_at").alias("latest"))
     b = tags.agg(F.count(F.lit(1)).alias("tags"), F.coalesce(F.sum(F.length("tag")), F.lit(0)).cast("long").alias("tag_chars"))
     return a.crossJoin(b)  # one row each
+
+
+def status_counts(docs: DataFrame) -> DataFrame:
+    """(status, n) of the documents."""
+    return docs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_count(docs: DataFrame, size: int) -> DataFrame:
+    """One row: total documents and pages of ``size``."""
+    return docs.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
+
+
+def newest(rows: DataFrame, keys: list[str], order: str, *columns: str) -> DataFrame:
+    """Of rows that repeat keys, the one of the largest ``order`` (then of the largest columns), with the columns named."""
+    last = F.max(F.struct(order, *columns)).alias("last")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")

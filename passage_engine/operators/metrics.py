@@ -42,6 +42,21 @@ def summary(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return one.crossJoin(share).withColumn("zero_result_rate", F.round(F.coalesce(F.try_divide("n_empty", "queries"), F.lit(0.0)), 4)).drop("n_empty")
 
 
+def level_counts(queries: DataFrame) -> DataFrame:
+    """One row of (query_id, level): queries judged by chunks and by documents."""
+    return queries.agg(F.count_if(F.col("level") == "chunk").alias("chunk_queries"), F.count_if(F.col("level") == "doc").alias("doc_queries"))
+
+
+def report(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
+    """Per query: the ids retrieved, in order and once each, how many are relevant, and the metrics at each depth."""
+    listed = first_occurrences(run).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("x")).select("query_id", F.array_join(F.transform("x", lambda r: r["id"].cast("string")), ",").alias("retrieved"))
+    out = qrels.select("query_id", "id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant")).join(listed, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.lit("")))
+    for k in ks:
+        each = per_query(run, qrels, k)
+        out = out.join(each.select("query_id", *(F.round(m, 4).alias(f"{m}_at_{k}") for m in ("recall", "precision", "hit", "ndcg")), *([F.round("rr", 4).alias("rr")] if k == ks[0] else [])), "query_id")
+    return out
+
+
 def latency(times: DataFrame, seconds: str = "seconds") -> DataFrame:
     """One row of count, mean, nearest-rank p50 and p95, min and max; zeros without rows."""
 

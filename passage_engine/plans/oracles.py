@@ -53,7 +53,7 @@ dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(scor
 
 _V = "SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings"
 _VQ = "SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0"
-_ASKED = "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)"
+_ASKED = _ITEMS
 _AV = "SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)"
 
 
@@ -86,12 +86,14 @@ cover AS (SELECT b.query_id, b.id, CASE WHEN len(t) = 0 THEN 0.0 ELSE least(1.0,
           FROM body b JOIN hit h ON h.query_id = b.query_id AND h.id = b.id)"""
 
 
-def _hybrid(k: int, scope: str = "", vscope: str = "", extra: str = "", join: str = "") -> str:
+def _hybrid(k: int, scope: str = "", vscope: str = "", extra: str = "", join: str = "", score: str = "") -> str:
     depth, pool = max(5 * k, 25), max(3 * k, 15)
+    score = score or f"0.5 * {_norm('fused', 'p.query_id')} + 0.5 * coverage"
     return f"""WITH {_fused(depth, scope, vscope)},
 pool AS (SELECT f.* FROM fused f JOIN d ON d.id = f.id WHERE fused_rank <= {pool}),
 {_coverage('SELECT query_id, id FROM pool')},
-final AS (SELECT p.*, 0.5 * {_norm('fused', 'p.query_id')} + 0.5 * coverage AS score FROM pool p JOIN cover c ON c.query_id = p.query_id AND c.id = p.id),
+final AS (SELECT p.*, {score} AS score FROM (SELECT p.*, -abs(length(q.query) - length(d.text)) / 100.0::DOUBLE AS logit FROM pool p JOIN d ON d.id = p.id JOIN q ON q.query_id = p.query_id) p
+          JOIN cover c ON c.query_id = p.query_id AND c.id = p.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fused_rank) AS rank FROM final)
 SELECT query_id, rank, r.id, round(score, 4) AS score, round(coalesce(ss, 0), 4) AS sparse_score, round(coalesce(ds, 0), 4) AS dense_score, fused_rank{extra}
 FROM ranked r {join} WHERE rank <= {k}"""
@@ -144,10 +146,10 @@ FROM pages""",
     "dense_search": f"WITH {_dense(_V, _VQ)} SELECT query_id, id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10",
     "dense_scoped": f"WITH {_dense(_V + ' WHERE label IN (1, 2, 3)', _VQ)} SELECT query_id, id, round(score, 6) AS score, rank FROM dense WHERE rank <= 5",
     "dense_widths": "SELECT count(*) FILTER (len(embedding) = 64) AS n_used, count(*) FILTER (len(embedding) <> 64) AS n_skipped FROM embeddings",
-    "l2_normalized": f"SELECT id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(1.0::DOUBLE, 6) AS length FROM ({_V})",
+    "l2_normalized": f"SELECT id, md5(array_to_string(list_transform(e, lambda x: CAST(floor(x / n * 1e6 + 0.5) AS BIGINT)), ',')) AS components_md5, round(1.0::DOUBLE, 6) AS length FROM (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM ({_V}))",
     "convex_fusion": f"WITH {_fused(50)} SELECT query_id, id, round(fused, 6) AS fused, fused_rank FROM fused",
     "rrf_fusion": f"WITH {_fused(50)}, r AS (SELECT query_id, id, coalesce(1.0::DOUBLE / (60 + dr), 0) + coalesce(1.0::DOUBLE / (60 + sr), 0) AS score FROM both_) SELECT query_id, id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM r",
-    "coverage_rerank": f"WITH {_bm25(_DOCS, _ITEMS)}, {_coverage('SELECT query_id, id FROM q JOIN d ON id = query_id')} SELECT query_id, round(coverage, 6) AS coverage FROM cover",
+    "coverage_rerank": f"WITH {_bm25(_DOCS, _ITEMS)}, {_coverage('SELECT query_id, id FROM hits WHERE rank <= 30')} SELECT query_id, id, round(coverage, 6) AS coverage FROM cover",
     "hybrid_search": _hybrid(10),
     "hybrid_scoped": _hybrid(
         5,
@@ -171,3 +173,72 @@ FROM (SELECT page_id, trim(regexp_replace(url, '[^\p{L}\p{N}._\- ]', '_', 'g'))
     "id_lookup": f"SELECT doc_id, filename FROM ({_LIBRARY}) WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "extracted_pages": f"SELECT *, '' AS error FROM ({SQL['html_text']})",
 }
+
+_CROSS = f"0.3 * {_norm('fused', 'p.query_id')} + 0.7 * {_norm('logit', 'p.query_id')}"
+_WORDS = f"array_to_string({_tokens('text')}, ' ')"
+
+
+def _report(k: int) -> str:
+    ideal = f"list_sum(list_transform(range(1, least(any_value(n), {k}) + 1), lambda r: 1 / log2(r + 1.0)))"
+    h = f"count(*) FILTER (r.rank <= {k})"
+    return f"""round({h} / any_value(n), 4) AS recall_at_{k}, round({h} / {k}.0::DOUBLE, 4) AS precision_at_{k}, CASE WHEN {h} > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS hit_at_{k},
+round(coalesce(sum(CASE WHEN r.rank <= {k} THEN 1 / log2(r.rank + 1.0) END), 0) / {ideal}, 4) AS ndcg_at_{k}"""
+
+
+# Chunks: sentences are cut to pieces of the chunk's size; runs of sentences that no full piece interrupts are then walked
+# chunk by chunk over the sums of their lengths.
+_CHUNKS = f"""
+WITH RECURSIVE src AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '^\\s+|\\s+$', '', 'g') AS body, list_filter(string_split(replace({_S}, chr(2), chr(1)), chr(1)), lambda x: x <> '') AS ss FROM documents),
+cuts AS (SELECT doc_id, no, s, CASE WHEN length(s) > 1000 THEN CAST(ceil((length(s) - 1000) / 850.0) AS INT) ELSE 0 END AS w
+         FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS no FROM src)),
+full_ AS (SELECT doc_id, no, k, substr(s, 850 * k + 1, 1000) AS t FROM (SELECT *, unnest(range(w)) AS k FROM cuts WHERE w > 0)),
+part AS (SELECT doc_id, no, substr(s, 850 * w + 1) AS t, sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM cuts),
+runs AS (SELECT doc_id, run, min(no) AS no, list(t ORDER BY no) AS ts FROM part GROUP BY doc_id, run),
+ends AS (SELECT *, list_concat([0::BIGINT], list_transform(range(1, len(ts) + 1), lambda k: CAST(list_sum(list_transform(ts[1:k], lambda x: length(x) + 1)) AS BIGINT))) AS e FROM runs),
+walk AS (
+  SELECT doc_id, run, no, ts, e, 0::BIGINT AS step, 0::BIGINT AS i, CAST(len(list_filter(e, lambda x: x <= 1001)) - 1 AS BIGINT) AS j FROM ends
+  UNION ALL
+  SELECT doc_id, run, no, ts, e, step + 1, n, CAST(len(list_filter(e, lambda x: x <= e[n + 1] + 1001)) - 1 AS BIGINT)
+  FROM (SELECT *, greatest(i, least(len(list_filter(e, lambda x: x < e[j + 1] - 151)), j - 1), len(list_filter(e, lambda x: x < e[j + 2] - 1001))) AS n FROM walk WHERE j < len(ts))),
+packed AS (SELECT doc_id, no, 1 AS kind, step AS k, array_to_string(ts[i + 1:j], ' ') AS t FROM walk UNION ALL SELECT doc_id, no, 0, k, t FROM full_),
+kept AS (SELECT * FROM packed WHERE length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) >= 50),
+raw AS (SELECT doc_id, 1 AS no, 1 AS kind, unnest(range(CAST(ceil(length(body) / 1000.0) AS BIGINT))) AS k, body FROM src WHERE doc_id NOT IN (SELECT doc_id FROM kept)),
+every AS (SELECT doc_id, no, kind, k, t FROM kept UNION ALL SELECT doc_id, no, kind, k, substr(body, 1000 * k + 1, 1000) FROM raw),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no, kind, k) - 1 AS INT) AS chunk_no, t AS text FROM every)"""
+_EXPORT = f"""SELECT l.doc_id, to_json({{'filename': l.filename, 'text': d.text, 'tags': t.tags, 'doc_type': l.doc_type, 'created_at': strftime(l.created_at, '%Y-%m-%dT%H:%M:%SZ')}})::VARCHAR AS document, l.*, t.tags, d.text
+FROM ({_LIBRARY}) l JOIN documents d USING (doc_id) JOIN (SELECT doc_id, list(tag ORDER BY tag) AS tags FROM ({_TAGS}) GROUP BY doc_id) t USING (doc_id) WHERE trim(d.text) <> ''"""
+_LIFE = r"""
+WITH g AS (SELECT *, sha256(text) AS h, arg_min(doc_id, doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE source <> 'src4' AND trim(text) <> ''),
+t AS (SELECT DISTINCT first, unnest([lang, 'from ' || source]) AS tag FROM g),
+d AS (SELECT first, any_value(h) AS h, first || '.md' AS filename FROM g GROUP BY first),
+has AS (SELECT first, list(tag) AS tags, list_contains(list(tag), 'fr') AS fr, list_contains(list(tag), 'de') AS de, list_contains(list(tag), 'es') AS es FROM t GROUP BY first)
+SELECT filename, 'ready' AS status, '' AS error, 'document' AS doc_type, CASE WHEN es AND NOT de THEN sha256('A new note on ' || filename || '.') ELSE h END AS content_hash,
+       CASE WHEN de THEN 'neu' ELSE array_to_string(list_sort(tags), ',') END AS tags
+FROM d JOIN has USING (first) WHERE NOT fr
+UNION ALL
+SELECT doc_id || '.md', 'failed', 'unreadable', 'document', '', '' FROM documents WHERE source = 'src4'"""
+SQL |= {
+    "hybrid_cross": _hybrid(10, score=_CROSS),
+    "hybrid_cross_fallback": SQL["hybrid_search"],
+    "backend_gate": _hybrid(5, vscope=" WHERE false"),
+    "relative_scores": f"WITH {_bm25(_DOCS, _ITEMS)} SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS relative FROM hits WHERE rank <= 10",
+    "status_counts": "SELECT CASE WHEN length(text) < 50 THEN 'failed' WHEN source = 'src3' THEN 'duplicate' ELSE 'ready' END AS status, count(*) AS n FROM documents GROUP BY 1",
+    "page_counts": "SELECT count(*) AS total, CAST(ceil(count(*) / 30.0) AS BIGINT) AS pages FROM documents",
+    "newest_rows": "SELECT conv_id, max(turn) AS turn, md5(arg_max(text, (turn, text))) AS text_md5 FROM conversations GROUP BY conv_id",
+    "query_levels": "SELECT count(*) FILTER (length(text) > 300) AS chunk_queries, count(*) FILTER (length(text) <= 300) AS doc_queries FROM benchmark",
+    "run_report": f"""{_METRICS}, listed AS (SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY rank) AS retrieved FROM run GROUP BY query_id),
+good AS (SELECT n_rel.query_id, n, id, rank FROM n_rel LEFT JOIN (SELECT * FROM run JOIN rel USING (query_id, id)) USING (query_id))
+SELECT r.query_id, any_value(n) AS n_relevant, coalesce(any_value(retrieved), '') AS retrieved, round(coalesce(1.0::DOUBLE / min(r.rank), 0.0), 4) AS rr, {', '.join(map(_report, (1, 5, 10)))}
+FROM good r LEFT JOIN listed USING (query_id) GROUP BY r.query_id""",
+    "extracted_formats": f"""SELECT item_id, kind, CASE kind WHEN 'doc' THEN '' WHEN 'txt' THEN 'Title' || chr(10) || w WHEN 'csv' THEN 'Title | words' || chr(10) || '1 | ' || w WHEN 'tsv' THEN 'Title | words' || chr(10) || '1 | ' || w
+  WHEN 'json' THEN 'Title' || p || w WHEN 'rtf' THEN 'Title' || chr(10) || w WHEN 'docx' THEN 'Title' || p || ' ' || w WHEN 'pptx' THEN 'Title' || p || w WHEN 'odt' THEN '# Title' || p || ' ' || w
+  WHEN 'xlsx' THEN '# One' || chr(10) || w || ' |  | 2.5' WHEN 'epub' THEN '# Title' || p || w WHEN 'html' THEN 'Title ' || w WHEN 'xml' THEN 'Title ' || w END AS text,
+  CASE kind WHEN 'doc' THEN 'ValueError: .doc files are not supported; convert to .docx' ELSE '' END AS error
+FROM (SELECT item_id, {_WORDS} AS w, chr(10) || chr(10) AS p, unnest(['txt', 'html', 'xml', 'csv', 'tsv', 'json', 'rtf', 'docx', 'pptx', 'odt', 'xlsx', 'epub', 'doc']) AS kind FROM benchmark)""",
+    "library_life": _LIFE,
+    "export_library": f"SELECT doc_id, document FROM ({_EXPORT})",
+    "imported_library": f"SELECT filename, md5(text) AS text_md5, array_to_string(tags, ',') AS tags, doc_type, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, '' AS error FROM ({_EXPORT})",
+    "json_strings": "SELECT event_id, props AS text, '' AS error FROM events",
+    "chunks": f"{_CHUNKS} SELECT doc_id || ':' || chunk_no AS chunk_id, doc_id, chunk_no, length(text) AS n_chars, md5(text) AS text_md5 FROM chunks",
+    "document_from_chunks": f"{_CHUNKS} SELECT doc_id, count(*) AS chunk_count, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_no)) AS text_md5 FROM chunks GROUP BY doc_id",
+}

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passage_engine import session
-from passage_engine.functions import chunking, porter, scoring, text
+from passage_engine.functions import chunking, scoring, text
 from passage_engine.operators import bm25, dense, embed, metadata, metrics
+from passage_engine.operators.library import Library
 from passage_engine.plans import oracles, search
-from passage_engine.sources import extract, transfer
+from passage_engine.sources import extract, samples, transfer
 
 FLAGSHIP = "hybrid_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +47,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "embedding")
-    return passages(spark, sf_dir).join(v, "query_id")
+    return passages(spark, sf_dir).join(v, "query_id", "left")
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,10 +154,9 @@ def library_version(spark, sf_dir):
 
 @query
 def term_frequencies(spark, sf_dir):
-    terms = bm25.query_terms(passages(spark, sf_dir)).select("term").distinct()
-    docs = texts(spark, sf_dir)
-    n = docs.agg(F.count(F.lit(1)).alias("n_texts"))
-    df = terms.join(bm25.document_frequencies(bm25.postings(docs, terms)), "term", "left").crossJoin(F.broadcast(n))
+    terms = bm25.query_terms(passages(spark, sf_dir))
+    index = bm25.index_for(texts(spark, sf_dir), terms)
+    df = terms.select("term").distinct().join(bm25.document_frequencies(index), "term", "left").crossJoin(F.broadcast(bm25.corpus(index)))
     count = F.coalesce("df", F.lit(0))
     return df.select("term", count.alias("df"), F.round(scoring.bm25_idf(F.col("n_texts"), count), 6).alias("bm25_idf"), F.round(scoring.coverage_idf(F.col("n_texts"), count), 6).alias("coverage_idf"))
 
@@ -175,8 +175,7 @@ def bm25_scoped(spark, sf_dir):
 @query
 def bm25_stemmed(spark, sf_dir):
     """Both sides folded and stemmed, as the full-text index does."""
-    stemmed = porter.stemmed(F.col("text"))
-    return bm25.search(texts(spark, sf_dir), passages(spark, sf_dir), 10, tokens=stemmed).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return bm25.search(texts(spark, sf_dir), passages(spark, sf_dir), 10, stem=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
@@ -201,7 +200,8 @@ def dense_widths(spark, sf_dir):
 @query
 def l2_normalized(spark, sf_dir):
     e = scoring.l2_normalize(F.col("embedding"))
-    return vectors(spark, sf_dir).select("id", F.round(F.element_at(e, 1), 6).alias("first"), F.round(scoring.dot(e, e), 6).alias("length"))
+    micro = F.array_join(F.transform(e, lambda x: F.floor(x * 1e6 + 0.5).cast("string")), ",")
+    return vectors(spark, sf_dir).select("id", F.md5(micro).alias("components_md5"), F.round(scoring.dot(e, e), 6).alias("length"))
 
 
 def _hits(spark, sf_dir):
@@ -222,11 +222,13 @@ def rrf_fusion(spark, sf_dir):
 
 @query
 def coverage_rerank(spark, sf_dir):
-    """Coverage of each passage's query by the document with the passage's id."""
+    """Coverage of each passage's terms by its 30 best texts."""
     docs, q = texts(spark, sf_dir), passages(spark, sf_dir)
-    weights = bm25.small(search.term_weights(docs, q).join(q, "query_id"), q.count())
-    pairs = docs.join(weights, docs.id == weights.query_id)
-    return pairs.select("query_id", F.round(search.coverage(F.col("idf"), F.col("terms"), F.col("query"), F.col("text")), 6).alias("coverage"))
+    terms = bm25.query_terms(q)
+    index = bm25.index_for(docs, terms)
+    hits = bm25.search_index(index, terms, 30)
+    pairs = docs.join(bm25.small(hits.select("query_id", "id")), "id").join(search.term_weights(index, terms).join(q, "query_id"), "query_id")
+    return pairs.select("query_id", "id", F.round(search.coverage(F.col("idf"), F.col("terms"), F.col("query"), F.col("text")), 6).alias("coverage"))
 
 
 @query
@@ -243,6 +245,124 @@ def hybrid_scoped(spark, sf_dir):
     return found.drop("text")
 
 
+class LengthEncoder:
+    """Stands for a cross-encoder: passages of a length like the query's score best."""
+
+    def score(self, pairs):
+        return [-abs(len(q) - len(t)) / 100 for q, t in pairs]
+
+
+class BrokenEncoder:
+    def score(self, pairs):
+        raise RuntimeError("no model")
+
+
+def _hybrid(spark, sf_dir, encoder):
+    found = search.search(texts(spark, sf_dir), asked(spark, sf_dir), search.Settings(top_k=10), vectors(spark, sf_dir).select("id", "embedding"), reranker=encoder)
+    return found.drop("text")
+
+
+@query
+def hybrid_cross(spark, sf_dir):
+    """Hybrid search whose pool a cross-encoder scores."""
+    return _hybrid(spark, sf_dir, LengthEncoder())
+
+
+@query
+def hybrid_cross_fallback(spark, sf_dir):
+    """A cross-encoder that fails leaves the search with coverage."""
+    return _hybrid(spark, sf_dir, BrokenEncoder())
+
+
+@query
+def backend_gate(spark, sf_dir):
+    """Vectors of another embedder are not searched: BM25 alone answers."""
+    usable, _ = embed.usable("other", 64, embed.HashingEmbedder(64))
+    v = vectors(spark, sf_dir).select("id", "embedding") if usable else None
+    return search.search(texts(spark, sf_dir), asked(spark, sf_dir), search.Settings(top_k=5), v).drop("text")
+
+
+@query
+def relative_scores(spark, sf_dir):
+    """Scores as shares of the best one of the query, as a list of results shows them."""
+    hits = bm25.search(texts(spark, sf_dir), passages(spark, sf_dir), 10)
+    return hits.select("query_id", "id", F.round(scoring.relative(F.col("score"), "query_id"), 6).alias("relative"))
+
+
+@query
+def status_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return metadata.status_counts(d.select(F.when(F.length("text") < 50, "failed").when(F.col("source") == "src3", "duplicate").otherwise("ready").alias("status")))
+
+
+@query
+def page_counts(spark, sf_dir):
+    return metadata.page_count(library(spark, sf_dir), 30)
+
+
+@query
+def newest_rows(spark, sf_dir):
+    """The last turn of each conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    return metadata.newest(turns, ["conv_id"], "turn", "text").select("conv_id", "turn", F.md5("text").alias("text_md5"))
+
+
+@query
+def query_levels(spark, sf_dir):
+    """How many queries are judged by passages and how many by documents."""
+    q = table(spark, sf_dir, "benchmark")
+    level = F.when(F.length("text") > 300, "chunk").otherwise("doc")
+    return metrics.level_counts(q.select(F.col("item_id").alias("query_id"), level.alias("level")))
+
+
+@query
+def run_report(spark, sf_dir):
+    """Rows of a report: each query's retrieved ids and metrics at several depths."""
+    run, qrels = _known_items(spark, sf_dir)
+    return metrics.report(run, qrels, [1, 5, 10])
+
+
+@query
+def extracted_formats(spark, sf_dir):
+    """Each passage's words in a file of every kind that is read without other programs, and the text read back."""
+    words = F.array_join(text.tokens("text"), " ")
+    files = table(spark, sf_dir, "benchmark").select("item_id", F.explode(samples.files("item_id", words)).alias("name", "content"))
+    return files.withColumn("x", extract.extract("name", "content")).select("item_id", extract.kind("name").alias("kind"), "x.text", "x.error")
+
+
+def _library(spark, sf_dir):
+    """A library that took in the documents, then lost those of one language, and had texts and tags of two changed."""
+    lib = Library(spark, session.scratch(spark, "library"))
+    d = table(spark, sf_dir, "documents")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
+    none = F.lit("")
+    rows = d.select(name.alias("filename"), "text", F.array("lang", F.concat(F.lit(" From  "), "source")).alias("tags"), F.lit("docs").alias("doc_type"), F.when(F.col("source") == "src4", "unreadable").otherwise(none).alias("error"), F.col("doc_id").alias("place"))
+    lib.ingest(rows)
+    tagged = lambda tag: lib.table("tags").where(F.col("tag") == tag).select("doc_id").distinct()
+    lib.delete(tagged("fr"))
+    lib.set_tags(tagged("de").withColumn("tags", F.array(F.lit("Neu"), F.lit(" neu "))))
+    lib.update_text(lib.table("documents").join(tagged("es"), "doc_id", "left_semi").select("doc_id", F.concat(F.lit("A new note on "), "filename", F.lit(".")).alias("text")))
+    return lib
+
+
+@query
+def library_life(spark, sf_dir):
+    lib = _library(spark, sf_dir)
+    rows = metadata.with_tags(lib.table("documents"), lib.table("tags"))
+    return rows.select("filename", "status", "error", "doc_type", "content_hash", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def imported_library(spark, sf_dir):
+    """An export of the documents read back."""
+    d = table(spark, sf_dir, "documents")
+    path = session.scratch(spark, "export")
+    rows = metadata.with_tags(library(spark, sf_dir), tags(spark, sf_dir)).join(d.select("doc_id", "text"), "doc_id")
+    transfer.write_export(rows, path)
+    back = transfer.read_export(spark, path)
+    return back.select("filename", F.md5("text").alias("text_md5"), F.array_join("tags", ",").alias("tags"), "doc_type", "created_at", "error")
+
+
 @query
 def conversation_memories(spark, sf_dir):
     return memories(spark, sf_dir).select("id", F.length("text").cast("long").alias("n_chars"), text.content_hash("text").alias("content_hash"))
@@ -341,9 +461,9 @@ def embedded_chunks(spark, sf_dir):
 def search_chunks(spark, sf_dir):
     """Hybrid search over chunks with the hashing embedder, for the benchmark passages."""
     e = embed.HashingEmbedder(64)
-    cut = chunking.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("id", F.col("doc_id") * 100000 + F.col("chunk_no"))
+    cut = chunking.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
     path = session.scratch(spark, "chunks")
-    cut.select("id", "text", embed.embedding(e, "text").alias("embedding")).write.parquet(path)
+    cut.select(F.col("chunk_id").alias("id"), "text", embed.embedding(e, "text").alias("embedding")).write.parquet(path)
     stored = spark.read.parquet(path)
     q = passages(spark, sf_dir).withColumn("embedding", embed.embedding(e, "query"))
     return search.search(stored.select("id", "text"), q, search.Settings(top_k=5), stored.select("id", "embedding")).drop("text")

@@ -8,7 +8,7 @@ from passage_engine.functions import scoring
 from passage_engine.operators import bm25, dense, embed, metrics
 from passage_engine.plans import search
 
-TEXTS = [(1, "Beacon beacon beacon relamped beacon maintenance log."), (2, "Harbor tide tables for April. Ferries follow the morning tide."), (3, "Beacon tide harbor relamped.")]
+TEXTS = [(1, "Kettle kettle kettle descaled kettle repair sheet."), (2, "Garden hose fittings for May. Sprinklers need the longer hose."), (3, "Kettle hose garden descaled.")]
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def found(df):
 
 
 def test_bm25_order(spark, docs):
-    q = spark.createDataFrame([(1, "beacon relamped"), (2, "tide"), (3, "zzz"), (4, '"beacon" OR (tide)'), (5, "!!")], "query_id long, query string")
+    q = spark.createDataFrame([(1, "kettle descaled"), (2, "hose"), (3, "zzz"), (4, '"kettle" OR (hose)'), (5, "!!")], "query_id long, query string")
     got = found(bm25.search(docs, q, 5))
     assert set(got) == {1, 2, 4}
     assert set(got[1]) == {1, 3} and got[2][0] in (2, 3) and set(got[4]) == {1, 2, 3}
@@ -78,8 +78,8 @@ def test_fusion(spark):
 
 
 def test_coverage(spark):
-    row = spark.createDataFrame([("capital of france", "The capital of the country is unknown.")], "q string, t string")
-    terms = F.array(F.lit("capital"), F.lit("france"))
+    row = spark.createDataFrame([("owner of barn", "The owner of the old mill is abroad.")], "q string, t string")
+    terms = F.array(F.lit("owner"), F.lit("barn"))
     got = row.select(search.coverage(F.array(F.lit(1.0), F.lit(1.0)), terms, F.col("q"), F.col("t")).alias("c")).first()["c"]
     assert got == pytest.approx(0.625)
 
@@ -87,11 +87,15 @@ def test_coverage(spark):
 def test_hybrid_end_to_end(spark, docs):
     e = embed.HashingEmbedder(64)
     vectors = docs.select("id", embed.embedding(e, "text").alias("embedding"))
-    q = spark.createDataFrame([(1, "beacon tide"), (2, "  ")], "query_id long, query string").withColumn("embedding", embed.embedding(e, "query"))
+    q = spark.createDataFrame([(1, "kettle hose"), (2, "  ")], "query_id long, query string").withColumn("embedding", embed.embedding(e, "query"))
     out = search.search(docs, q, search.Settings(top_k=2), vectors).orderBy("rank").collect()
     assert [r["rank"] for r in out] == [1, 2] and out[0]["id"] == 3
-    cross = spark.createDataFrame([(1, 1, 3.0), (1, 2, -2.0), (1, 3, 8.0)], "query_id long, id long, logit double")
-    assert search.search(docs, q, search.Settings(top_k=3), vectors, cross_scores=cross).orderBy("rank").first()["id"] == 3
+
+    class Longest:
+        def score(self, pairs):
+            return [len(t) for _, t in pairs]
+
+    assert search.search(docs, q, search.Settings(top_k=3), vectors, reranker=Longest()).orderBy("rank").first()["id"] == 2
     assert search.search(docs, q, search.Settings(top_k=3, hybrid=False, rerank=False), vectors).count() == 3
     with pytest.raises(ValueError):
         search.Settings(top_k=51)
@@ -110,9 +114,31 @@ def test_metrics(spark):
     assert tuple(metrics.latency(t.where("seconds < 0")).first()) == (0, 0.0, 0.0, 0.0, 0.0, 0.0)
 
 
-def test_small_functions(spark):
-    r = spark.range(1).select(scoring.gelu(F.lit(1.0)).alias("g"), scoring.sigmoid(F.lit(0.0)).alias("s")).first()
-    assert r["g"] == pytest.approx(0.8413447, abs=1e-6) and r["s"] == 0.5
+def test_stemmed_search_stems_both_sides(spark):
+    d = spark.createDataFrame([(1, "He runs home."), (2, "A walk home."), (3, "Running it is, they ran."), (4, "Nothing here."), (5, "More of that.")], "id long, text string")
+    q = spark.createDataFrame([(1, "running")], "query_id long, query string")
+    assert set(found(bm25.search(d, q, 5, stem=True))[1]) == {1, 3} and set(found(bm25.search(d, q, 5))[1]) == {3}
+
+
+def test_search_reads_the_texts_once(spark, tmp_path):
+    """BM25 makes its index in one pass; a search adds one more, for the texts of the pool."""
+    spark.createDataFrame([(k, f"word{k % 7} hose kettle") for k in range(50)], "id long, text string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    q = spark.createDataFrame([(1, "word3 hose")], "query_id long, query string")
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count(f"{tmp_path}/d")
+
+    assert scans(bm25.search(d, q, 5)) == 0 and scans(search.search(d, q)) == 1
+
+
+def test_dense_holds_a_bounded_number_of_scores(spark, monkeypatch):
+    monkeypatch.setattr(dense, "SCORES", 8)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(12, 5)), 3, axis=0)
+    v = spark.createDataFrame([(f"v{k:02d}", r.tolist()) for k, r in enumerate(x)], "id string, embedding array<double>")
+    q = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rng.normal(size=(6, 5)))], "query_id long, embedding array<double>")
+    assert found(dense.search(v, q, 4)) == found(dense.by_pairs(v, q, 4))
 
 
 def test_dense_in_blocks(spark, monkeypatch):

@@ -13,7 +13,7 @@ def one(spark, column, **values):
 def test_tokens_and_terms(spark):
     assert one(spark, text.tokens("a"), a="Café No. 3, x_y") == ["caf", "no", "3", "x", "y"]
     assert one(spark, text.tokens("a"), a=None) == []
-    assert one(spark, text.content_terms("a"), a="the Capital of the capital France") == ["capital", "france"]
+    assert one(spark, text.content_terms("a"), a="the Owner of the owner barn") == ["owner", "barn"]
     assert one(spark, text.content_terms("a"), a="What is the what") == ["what", "is", "the"]
 
 
@@ -42,7 +42,7 @@ def test_html_and_boilerplate(spark):
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("No. Go. Hi. Mr. Smith came.", ["No.", "Go.", "Hi.", "Mr. Smith came."]),
+        ("Yes. So it is. Mrs. Brown left. Ok.", ["Yes.", "So it is.", "Mrs. Brown left.", "Ok."]),
         ("One two.  Three!\nFour? “Five.” Six", ["One two.", "Three!", "Four?", "“Five.”", "Six"]),
         ("Dr. J. R. Ray saw e.g. this. Mr.\n\nNext", ["Dr. J. R. Ray saw e.g. this.", "Mr.", "Next"]),
         ("", []),
