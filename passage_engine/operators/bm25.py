@@ -23,15 +23,16 @@ from passage_engine.functions import porter, scoring, text
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def small(side: DataFrame, at_most: int | None = None) -> DataFrame:
+def small(side: DataFrame, at_most: int | None = None, like: DataFrame | None = None) -> DataFrame:
     """Marks a side for broadcast if it is small: by a bound on its rows, which then hold ids and numbers alone, or by
-    counting its rows and the bytes of its strings.
+    counting rows and the bytes of strings, its own or those of ``like``, of which it has no more rows or strings.
     """
     if at_most is not None:
         return F.broadcast(side) if at_most <= BROADCAST_ROWS else side
-    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in side.schema if isinstance(f.dataType, StringType)), F.lit(0).cast("long"))
-    n, held = side.select(size.alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return F.broadcast(side) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else side
+    held = side if like is None else like
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in held.schema if isinstance(f.dataType, StringType)), F.lit(0).cast("long"))
+    n, chars = held.select(size.alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(side) if n <= BROADCAST_ROWS and chars <= BROADCAST_BYTES else side
 
 
 def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
@@ -45,8 +46,9 @@ def index(docs: DataFrame, keys: DataFrame | None = None, tokens: Column | None
     found = docs.select("id", (text.tokens("text") if tokens is None else tokens).alias("tokens"))
     each = found.select("id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
     if keys is not None:
-        wanted = keys.select(F.col("key").alias("term")).distinct()
-        each = each.join(small(wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
+        # The empty term stands for the texts' own rows.
+        wanted = keys.select(F.explode(F.array("key", F.lit(""))).alias("term")).distinct()
+        each = each.join(small(wanted, like=keys.select("key")), "term", "left_semi")
     return each.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "length")
 
 
@@ -94,7 +96,7 @@ def search_index(found: DataFrame, terms: DataFrame, top_n: int, scope: DataFram
     weights = terms.groupBy("query_id", F.col("key").alias("term")).agg(F.count(F.lit(1)).alias("times"))
     if scope is not None:
         entries = entries.join(scope.select("id").distinct(), "id", "left_semi")
-    wanted = small(weights.join(idf, "term"))
+    wanted = small(weights.join(idf, "term"), like=terms.select("query_id", "key"))
     part = scoring.bm25_part(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")) * F.col("times")
     total = entries.join(wanted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     return ranked(total, top_n)
