@@ -8,8 +8,9 @@ collapsed) and their digests grouped over all documents; the occurrence of the l
 then the place in it) is kept and all later ones are removed. Results carry the removed spans, the union of those of all
 units, as offsets into the original text.
 
-Only digests and offsets are shuffled, never texts. The group-by is combined before its shuffle and keeps three numbers per
-digest; only digests that occur twice come back, in a join whose skewed keys Spark splits.
+Texts are cut once, into a table of digests and offsets; only these are shuffled, never texts. What a text repeats of
+itself is found there. The group-by is combined before its shuffle and keeps the first place of each digest; only digests
+that occur twice come back, in a join whose skewed keys Spark splits.
 
 Defined results: a null or empty text has no units; rows that repeat an id and its text are one document; rows with one
 id and unequal texts are separate documents ordered by the text's hash; null ids are one id, which ranks last; other
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from passage_engine import session
 from passage_engine.llm.batches import bound
 
 MIN_WORDS = 5
@@ -88,22 +90,27 @@ def _digest(words: list[str]) -> bytes:
 
 
 def _explode(pairs: DataFrame, line_words: int) -> DataFrame:
-    """A row per unit: doc_id, text_hash, at, n_chars, h1, h2."""
+    """A row per unit: doc_id, text_hash, at, n_chars, again (whether the same text has it before), h1, h2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, at, size, digests = [], [], [], []
+            which, at, size, again, digests = [], [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                for start, length, digest in units(text, line_words):
+                found, first = [*units(text, line_words)], {}
+                for start, _, digest in found:
+                    first[digest] = min(start, first.get(digest, start))
+                for start, length, digest in found:
                     which.append(k)
                     at.append(start)
                     size.append(length)
+                    again.append(start > first[digest])
                     digests.append(digest)
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             keys = batch.select([0, 1]).take(pa.array(which, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "text_hash", "at", "n_chars", "h1", "h2"])
+            columns = [*keys.columns, pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(again, pa.bool_()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "at", "n_chars", "again", "h1", "h2"])
 
-    return pairs.mapInArrow(run, "doc_id long, text_hash long, at int, n_chars int, h1 long, h2 long")
+    return pairs.mapInArrow(run, "doc_id long, text_hash long, at int, n_chars int, again boolean, h1 long, h2 long")
 
 
 def _pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -113,19 +120,18 @@ def _pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line_words: int = MIN_WORDS) -> DataFrame:
     """Spans to remove: doc_id, text_hash, at, n_chars; offsets are in characters of the original text; spans may overlap."""
-    bound(docs.sparkSession)
-    found = _explode(_pairs(docs, doc_id, text), line_words)
-    # Rank of an occurrence is (doc_id, text_hash, at): the least doc_id first, null last, among its rows the least text and place.
-    first_text = F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("first_text")
-    groups = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), first_text).where("n > 1").drop("n")
-    repeats = found.join(groups, ["h1", "h2"])
-    # Without a first id, the least text is the first document.
-    same = F.expr("doc_id <=> first_doc AND (doc_id IS NOT NULL OR text_hash = first_text)")
-    later = repeats.where(~same).select("doc_id", "text_hash", "at", "n_chars")
-    # Occurrences within the first document: few per digest, as one document holds them all.
-    place = W.partitionBy("h1", "h2").orderBy("text_hash", "at")
-    again = repeats.where(same).withColumn("place", F.dense_rank().over(place)).where("place > 1").select("doc_id", "text_hash", "at", "n_chars")
-    return later.unionByName(again)
+    spark = docs.sparkSession
+    bound(spark)
+    path = session.scratch(spark, "line-units")
+    _explode(_pairs(docs, doc_id, text), line_words).write.parquet(path)
+    found = spark.read.parquet(path)
+    # Rank of an occurrence: the least doc_id first, null last, among its rows the least text; within a text its first place.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    fresh = found.where(~F.col("again")).withColumn("place", place)
+    groups = fresh.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1").select("h1", "h2", "first")
+    later = fresh.join(groups, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first")))
+    spans = ["doc_id", "text_hash", "at", "n_chars"]
+    return later.select(*spans).unionByName(found.where("again").select(*spans))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line_words: int = MIN_WORDS) -> DataFrame:
