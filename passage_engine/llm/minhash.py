@@ -13,7 +13,8 @@ links they find. There posting lists of the block's shingles bound J_P first: as
 at most the share of either text that both have in common. Nothing is capped or left out.
 
 Verification. J_P of the whole texts, exactly; pairs of ``SIMILARITY`` or more are links, and classes are the links'
-connected components. Copies of one text are one vertex throughout: only ids are kept for them.
+connected components. Copies of one text are one vertex throughout: only ids are kept for them. A vertex is named by a
+64-bit hash of its text; a second one tells unequal texts of one name apart, which then get other names.
 
 Texts move once, and only from there on those in candidate pairs; otherwise ids and keys are shuffled.
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passage_engine import session
@@ -132,36 +133,52 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (above / x + below / y)).sum())
 
 
+def _vertex(text: str) -> Column:
+    """The name of a text."""
+    return F.xxhash64(text)
+
+
 def _sketched(rows: DataFrame) -> DataFrame:
-    """From (doc_id, vertex, text): doc_id, vertex, keys."""
+    """From (doc_id, vertex, check, text): doc_id, vertex, check, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, some = band_keys(batch.column(2).to_pylist())
+            keys, some = band_keys(batch.column(3).to_pylist())
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))], ["doc_id", "vertex", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].ravel()))], ["doc_id", "vertex", "check", "keys"])
+
+    return rows.select("doc_id", "vertex", "check", "text").mapInArrow(run, "doc_id long, vertex long, check long, keys array<long>")
 
-    return rows.mapInArrow(run, "doc_id long, vertex long, keys array<long>")
 
+def _verified(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a member and its hub, from (hub, vertex), whose texts (id, text) have a J_P of SIMILARITY or more.
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose texts (id, text) have a J_P of SIMILARITY or more."""
+    A hub's members are dealt in parts of about BLOCK_TEXTS; its own text goes once to each part and stands before them.
+    """
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int")
+    members = stars.join(sizes, "hub").select("hub", part.alias("part"), F.col("vertex").alias("id"), F.lit(1).alias("member"))
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("id"), F.lit(0).alias("member"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
         for batch in batches:
-            u, v, a, b = (c.to_pylist() for c in batch.columns)
-            own = dict(zip(u, a, strict=True)) | dict(zip(v, b, strict=True))
-            number, hashes, weights = shingle_weights([*own.values()])
-            ends = np.searchsorted(number, np.arange(len(own) + 1))
-            sets = {k: (hashes[s:e], weights[s:e]) for k, s, e in zip(own, ends[:-1], ends[1:], strict=True)}
-            keep = [probability_jaccard(sets[x], sets[y]) >= SIMILARITY for x, y in zip(u, v, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+            hub, member, name, text = (c.to_pylist() for c in batch.columns)
+            number, hashes, weights = shingle_weights(text)
+            ends = np.searchsorted(number, np.arange(len(text) + 1)).tolist()
+            keep = []
+            for k in range(len(text)):
+                mine = hub[k], hashes[ends[k] : ends[k + 1]], weights[ends[k] : ends[k + 1]]
+                if not member[k]:
+                    own = mine
+                elif own[0] == hub[k] and probability_jaccard(own[1:], mine[1:]) >= SIMILARITY:
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([name[k] for k in keep], pa.int64()), pa.array([hub[k] for k in keep], pa.int64())], ["u", "v"])
+
+    placed = members.unionByName(hubs).join(texts, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
+    return placed.select("hub", "member", "id", "text").mapInArrow(run, "u long, v long")
 
 
 def _forest(own: dict[int, str], component: dict[int, int]) -> list[tuple[int, int]]:
@@ -226,15 +243,20 @@ def _rest(stars: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, vertex (a hash of its text), component_id (least doc_id of its class), kept (whether its id is that)."""
+    """Per row: doc_id, vertex and check (hashes of its text), component_id (least doc_id of its class), kept (whether its id is that)."""
     spark = docs.sparkSession
     bound(spark)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("vertex"), body.alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text")).withColumns({"vertex": _vertex("text"), "check": F.xxhash64(F.lit(1), "text")})
     path = session.scratch(spark, "minhash-keys")
     _sketched(rows).write.parquet(path)
     keyed = spark.read.parquet(path)
-    members = keyed.select("doc_id", "vertex")
+    # Unequal texts whose names are equal get other names, from both hashes: 128 bits tell texts apart.
+    clash = keyed.groupBy("vertex").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("vertex")
+    if not clash.isEmpty():
+        again = lambda df: df.join(clash.withColumn("clash", F.lit(True)), "vertex", "left").withColumn("vertex", F.when(F.col("clash"), F.xxhash64("vertex", "check")).otherwise(F.col("vertex"))).drop("clash")
+        keyed, rows = again(keyed), again(rows)
+    members = keyed.select("doc_id", "vertex", "check")
     # Keys that two different texts share, then their texts.
     spread = keyed.select("vertex", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b").select("key")
@@ -251,7 +273,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     text_path = session.scratch(spark, "minhash-texts")
     found.dropDuplicates(["id"]).write.parquet(text_path)
     texts = spark.read.parquet(text_path)
-    links = _verified(stars.select(F.col("vertex").alias("u"), F.col("hub").alias("v")), texts).checkpoint()
+    links = _verified(stars, texts).checkpoint()
     parts = components(links)
     more = _rest(stars, parts, texts).checkpoint()
     if not more.isEmpty():
@@ -262,12 +284,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     of = named_first.join(least, "component").select("vertex", "component", "component_id")
     # A class of null ids alone has no least id; its component is the least vertex.
     kept = F.expr("doc_id <=> component_id AND (doc_id IS NOT NULL OR vertex = component)")
-    return members.join(of, "vertex").select("doc_id", "vertex", "component_id", kept.alias("kept"))
+    return members.join(of, "vertex").select("doc_id", "vertex", "check", "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the least id of their class, one per class; of equal ids with equal texts one stays."""
-    kept = classes(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept"), F.col("vertex").alias("_text")).distinct()
-    marked = docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    kept = classes(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept"), F.col("check").alias("_text")).distinct()
+    marked = docs.withColumn("_tie", F.xxhash64(F.lit(1), body))
     same = marked[f"`{doc_id}`"].eqNullSafe(kept["_kept"]) & (marked["_tie"] == kept["_text"])
     return marked.join(kept, same, "left_semi").dropDuplicates([doc_id, "_tie"]).drop("_tie")

@@ -63,7 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passage_engine.llm import minhash
 
-    return minhash.classes(_table(spark, sf_dir, "documents")).drop("vertex")
+    return minhash.classes(_table(spark, sf_dir, "documents")).drop("vertex", "check")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

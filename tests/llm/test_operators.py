@@ -339,6 +339,37 @@ def cut_texts(spark, rows, **kw):
     return {d: line_dedup.keep_rest(t or "", spans[d]) for d, t in rows}
 
 
+@pytest.mark.parametrize("line_words", [1, 5])
+def test_line_dedup_against_brute_force(spark, line_words):
+    r = random.Random(12)
+    sentences = ["Dusk fell.", "The keeper lit the lamp again at dusk.", "the  keeper lit the lamp again at DUSK.", "No.", "Ropes and sails were stored below the deck.", "Was it the storm that took them?", "a b c d"]
+    rows = [(r.choice([None, *range(25)]), r.choice([" ", "\n", "\n\n"]).join(r.choice(sentences) for _ in range(r.randrange(7)))) for _ in range(60)]
+    rows += rows[:5] + [(90, None), (91, "")]
+    got = Counter()
+    for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), line_words=line_words).collect():
+        got[x["doc_id"], x["n_chars"], x["n_removed"], x["removed_chars"]] += 1
+    # Every occurrence of every unit, ranked by id, text (by Spark's hash, as documented) and place.
+    texts = {(d, t or "") for d, t in rows}
+    order = {t: h for t, h in spark.createDataFrame([(t,) for t in {t for _, t in texts}], "t string").select("t", F.xxhash64("t")).collect()}
+    places = {}
+    for d, t in texts:
+        for at, n, digest in line_dedup.units(t, line_words):
+            places.setdefault(digest, []).append(((d is None, d or 0, order[t], at), (d, t), (at, n)))
+    gone = {k: set() for k in texts}
+    for found in places.values():
+        first = min(found)[0]
+        for place, owner, (at, n) in found:
+            if place != first:
+                gone[owner] |= set(range(at, at + n))
+    want = Counter()
+    for (d, t), cut in gone.items():
+        want[d, len(t), sum(k - 1 not in cut for k in cut), len(cut)] += 1
+    assert {k[:2] for k in got} == {k[:2] for k in want} and sum(got.values()) == sum(want.values())
+    # Spans that touch stay apart in the result and are one run here.
+    assert Counter({(k[0], k[1], k[3]): 0 for k in got}) == Counter({(k[0], k[1], k[3]): 0 for k in want})
+    assert sorted(k[3] for k in got.elements()) == sorted(k[3] for k in want.elements())
+
+
 def test_line_dedup_takes_whole_lines_of_any_length(spark, tmp_path):
     from passage_engine.llm.queries import QUERIES
 
@@ -373,6 +404,23 @@ def test_sample_of_equal_t_is_one_value_whatever_the_weight(spark):
     assert rows.where("one <> more").count() == 0
 
 
+def test_minhash_tells_texts_of_one_name_apart(spark, monkeypatch):
+    rows = [(k, prose(300 + k, 60)) for k in range(40)] + [(k + 40, prose(300 + k, 60)) for k in range(5)]
+    rows += [(k + 60, prose(300 + k, 60).rsplit(" ", 1)[0] + " zzz") for k in range(5)]
+    want = {d: (d if d < 40 else (d - 40) % 20) for d, _ in rows}
+    monkeypatch.setattr(minhash, "_vertex", lambda text: F.xxhash64(text).bitwiseAND(7))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_minhash_deals_the_members_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 3)
+    base = prose(31, 120).split()
+    rows = [(k, " ".join(w if j != 3 * k else "zzz" for j, w in enumerate(base))) for k in range(30)] + [(99, prose(77, 120))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: (0 if d < 99 else 99) for d, _ in rows}
+
+
 def test_minhash_of_null_ids(spark):
     a, b = prose(21, 200), prose(22, 200)
     near_a, near_b = a.rsplit(" ", 1)[0] + " zzz", b.rsplit(" ", 1)[0] + " zzz"
