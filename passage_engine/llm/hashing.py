@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-# An odd base, and the constants of the splitmix64 finaliser.
-_BASE = 0xA24BAED4963EE407
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240611).integers(0, 1 << 64, 256, np.uint64)
+# Odd bases of the hashes, and the constants of the splitmix64 finaliser below.
+_BASES = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
+_TABLES = [np.random.default_rng(20240611 + k).integers(0, 1 << 64, 256, np.uint64) for k in range(len(_BASES))]
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -30,14 +29,17 @@ def _power(base: int, n: int) -> np.ndarray:
     return kept[:n]
 
 
-def prefix(raw: np.ndarray) -> np.ndarray:
+def prefix(raw: np.ndarray, which: int = 0) -> np.ndarray:
     """Sums from which the polynomial hash of any window follows in two steps; one longer than ``raw``."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[raw] * _power(_INVERSE, len(raw)), out=out[1:])
+    np.cumsum(_TABLES[which][raw] * _power(pow(_BASES[which], -1, 1 << 64), len(raw)), out=out[1:])
     return out
 
 
-def windows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """Polynomial hashes, modulo 2 ** 64 and over a random table of bytes, of raw[start:end]; not yet mixed."""
-    sums = prefix(raw) if sums is None else sums
-    return (sums[ends] - sums[starts]) * _power(_BASE, len(raw) + 1)[starts]
+def windows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None, which: int = 0) -> np.ndarray:
+    """Polynomial hashes, modulo 2 ** 64 and over a random table of bytes, of raw[start:end]; not yet mixed.
+
+    ``which`` chooses one of two hashes, of independent tables and different bases; ``sums`` are of the same one.
+    """
+    sums = prefix(raw, which) if sums is None else sums
+    return (sums[ends] - sums[starts]) * _power(_BASES[which], len(raw) + 1)[starts]

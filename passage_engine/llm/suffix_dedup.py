@@ -1,24 +1,27 @@
 """Suffix-array dedup: bytes covered by a string of ``MATCH`` bytes that also starts elsewhere are removed.
 
-The construction follows blockwise suffix sorting with a difference cover. A difference cover modulo v is a set of
-residues such that any two positions i, j have a shift s < v with both i + s and j + s in the set. So two equal strings
-of MATCH bytes, at i and j, hold two equal strings of MATCH - v + 1 bytes at sampled positions.
-
-1. Cover ranks. The sampled suffixes, about one in seventeen, are keyed by a 64-bit hash of their first MATCH - v + 1
-   bytes and dealt to buckets of the key; each bucket is sorted by itself, which ranks its suffixes and shows those whose
-   rank another suffix shares. Unshared ranks, nearly all of them, end here.
-2. Suffix buckets. Only suffixes with a shared cover rank within v bytes can repeat for MATCH bytes. They are keyed by the
-   hash of their first MATCH bytes (long common prefixes are thus resolved without comparing bytes), dealt to buckets and
-   sorted, one bucket at a time. The order within a bucket is that of the keys: any order that brings equal prefixes
-   together serves, so none by letters is made.
-3. Every suffix that shares its prefix covers MATCH bytes of its document; what is covered is cut out.
+The construction is blockwise suffix sorting with a difference cover, in two departures that README explains with figures:
+suffixes are ordered by hashes of their prefixes, not by letters, as any order that brings equal prefixes together serves
+here and raw prefixes would be many times the input; and the cover's places prune suffixes instead of resolving ties.
+
+A difference cover modulo v is a set of residues such that any two positions i, j have a shift s < v with both i + s and
+j + s in the set. So two equal strings of MATCH bytes, at i and j, hold two equal strings of MATCH - v + 1 bytes at
+positions of the cover.
+
+1. Cover. The suffixes at the cover's positions, about one in seventeen, are keyed by a 64-bit hash of their first
+   MATCH - v + 1 bytes and dealt to buckets of the key; each bucket is sorted by itself. Keys that occur once, nearly all
+   of them, end here.
+2. Suffix buckets. Only suffixes with a shared key of the cover within v bytes can repeat for MATCH bytes. They are keyed
+   by another hash, of their first MATCH bytes, dealt to buckets and sorted, one bucket at a time: a long tie needs no
+   comparison of bytes, and a task holds one bucket.
+3. Every suffix that shares its key covers MATCH bytes of its document; what is covered is cut out.
 
 Texts are packed once into blocks of about ``BLOCK`` bytes, in a table bucketed by block, so that no later step moves
 them: a block sends each bucket its distinct keys, sorted, and gets back one bit per key. A passage that any number of
-documents share therefore sends one key per block. Equal texts are one text from the start.
+documents share therefore sends one key per block. Equal texts, told apart by 128 bits, are one text from the start.
 
-A suffix counts as repeated by two independent 64-bit hashes, of its sampled part and of its MATCH bytes; a false
-repeat needs a collision of the second among suffixes that pass the first.
+Bytes are not compared. The two hashes have independent tables and bases; a false repeat needs a collision of both, of the
+second one among suffixes that pass the first.
 
 Defined results: null and empty texts, and texts shorter than MATCH bytes, keep all; a text of MATCH bytes or more that
 occurs in two rows is removed from both; rows of one id are separate documents; strings never cross documents; other
@@ -77,12 +80,11 @@ class Block:
         self.match, self.raw = match, np.frombuffer(payload, np.uint8)
         self.ends = np.cumsum(np.array(lengths, np.int64))
         self.starts = self.ends - np.array(lengths, np.int64)
-        self.sums = prefix(self.raw)
         self.modulus, self.cover = difference_cover(max(7, match * 4 // 5))
 
-    def _keys(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _keys(self, at: np.ndarray, length: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, sorted; each position's place among them; which of them occur twice in this block."""
-        keys, place, count = np.unique(mix64(windows(self.raw, at, at + length, self.sums)), return_inverse=True, return_counts=True)
+        keys, place, count = np.unique(mix64(windows(self.raw, at, at + length, which=which)), return_inverse=True, return_counts=True)
         return keys, place, count > 1
 
     def sampled(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,7 +92,7 @@ class Block:
         at = (np.arange(0, len(self.raw), self.modulus)[:, None] + np.array(self.cover)).ravel()
         at = at[at + length <= len(self.raw)]
         at = at[at + length <= self.ends[np.searchsorted(self.ends, at, "right")]]
-        return at, self._keys(at, length)
+        return at, self._keys(at, length, 0)
 
     def suffixes(self, bits: bytes) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Suffixes that may repeat, from the answer to the sampled keys."""
@@ -101,7 +103,7 @@ class Block:
         high = np.minimum(shared, self.ends[text] - self.match)
         low, high = low[high >= low], high[high >= low]
         may = np.flatnonzero(_covered(low, high + 1, len(self.raw)))
-        return may, self._keys(may, self.match)
+        return may, self._keys(may, self.match, 1)
 
     def removed(self, bits: bytes, more: bytes) -> np.ndarray:
         """Whether each byte is covered by a string that repeats."""
@@ -208,8 +210,21 @@ def _results(docs: DataFrame, doc_id: str, text: str, match: int, with_text: boo
 
     name, place = f"repeat_blocks_{uuid.uuid4().hex}", session.scratch(spark, "repeats-blocks")
     packed = texts.mapInArrow(pack, "block long, h1 array<long>, h2 array<long>, copies array<long>, lengths array<int>, payload binary")
-    packed.write.bucketBy(min(4096, max(8, total // (2 * BLOCK))), "block").option("path", place).option("compression", "zstd").format("parquet").saveAsTable(name)
-    blocks = spark.table(name)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    made = [place]
+    try:
+        packed.write.bucketBy(min(most, max(8, total // (2 * BLOCK))), "block").option("path", place).option("compression", "zstd").format("parquet").saveAsTable(name)
+        done_path = _cut(spark.table(name), total, match, with_text, made)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in made:
+            session.remove(spark, path)
+    return base, spark.read.parquet(done_path).dropDuplicates(["h1", "h2"])
+
+
+def _cut(blocks: DataFrame, total: int, match: int, with_text: bool, made: list[str]) -> str:
+    """Where the results of all texts in the blocks are written; tables to be removed after are added to ``made``."""
+    spark = blocks.sparkSession
     modulus, cover = difference_cover(max(7, match * 4 // 5))
     buckets = max(8, -(-total * len(cover) * 8 // (modulus * BUCKET)))
 
@@ -221,6 +236,7 @@ def _results(docs: DataFrame, doc_id: str, text: str, match: int, with_text: boo
 
     texts_of = blocks.select("block", "lengths", "payload")
     first_path, second_path, done_path = (session.scratch(spark, f"repeats-{x}") for x in ("cover", "suffixes", "done"))
+    made += [first_path, second_path]
     _asked(texts_of, buckets, sampled_keys).withColumnRenamed("answers", "first").write.parquet(first_path)
     first = spark.read.parquet(first_path).hint("shuffle_hash")
     _asked(texts_of.join(first, "block"), 4 * buckets, suffix_keys).withColumnRenamed("answers", "second").write.parquet(second_path)
@@ -243,10 +259,7 @@ def _results(docs: DataFrame, doc_id: str, text: str, match: int, with_text: boo
 
     both = blocks.join(first, "block").join(second, "block", "left")
     both.select("block", "h1", "h2", "copies", "lengths", "payload", "first", "second").mapInArrow(cut, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").write.parquet(done_path)
-    spark.sql(f"DROP TABLE {name}")
-    for path in (place, first_path, second_path):
-        session.remove(spark, path)
-    return base, spark.read.parquet(done_path).dropDuplicates(["h1", "h2"])
+    return done_path
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", match: int = MATCH) -> DataFrame:
