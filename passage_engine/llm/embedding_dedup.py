@@ -32,23 +32,33 @@ from passage_engine.llm.batches import bound
 from passage_engine.llm.components import components
 
 COSINE = 0.98
-#: Vectors meant for a cell, vectors in a block, and pivots of all labels together (about 500 bytes each at width 64).
-CELL, BLOCK, MOST_PIVOTS = 512, 2048, 4096
+#: Vectors meant for a cell, vectors in a block, pivots of all labels together (about 500 bytes each at width 64), and
+#: distances to pivots that a task holds at once.
+CELL, BLOCK, MOST_PIVOTS, DISTANCES = 512, 2048, 32768, 4 << 20
 #: Slack for rounding when distances decide where a vector is sent; links themselves are decided by the cosine alone.
 SLACK = 1e-6
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def _unit(rows: list | np.ndarray) -> np.ndarray:
+    x = np.asarray(rows, np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def cells(unit: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vector, pivot, whether it lives there) for every cell that a vector is sent to."""
+    """(vector, pivot, whether it lives there) for every cell that a vector is sent to; a bounded number of distances at once."""
+    step = max(1, DISTANCES // len(pivots))
+    found = []
+    for k in range(0, max(1, len(unit)), step):
+        vector, cell, home = _cells(unit[k : k + step], pivots, radius)
+        found.append((vector + k, cell, home))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _cells(unit: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     squares = np.maximum(2 - 2 * (unit @ pivots.T), 0)
     home = squares.argmin(axis=1)
     near = squares[np.arange(len(unit)), home][:, None]
-    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))[home]
+    apart = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 0))
     triangle = np.sqrt(squares) <= np.sqrt(near) + 2 * radius + SLACK
     plane = squares - near <= 2 * apart * (radius + SLACK) + SLACK
     sent = triangle & plane
@@ -75,28 +85,26 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def joined(rows: list[dict], cosine: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Of one pair of blocks: (id, links of a resident, copies counted) and a forest of the links (id, id)."""
-    left = [r for r in rows if r["side"] == 0]
-    right = [r for r in rows if r["side"] == 1]
-    if not left or not right:
+def joined(table: pa.Table, cosine: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of one pair of blocks (side, id, x, copies): (id, links of a resident, copies counted) and a forest of the links (id, id)."""
+    side, ids, copies = (table.column(c).to_numpy() for c in ("side", "id", "copies"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
         return [], []
-    a, b = _unit([r["x"] for r in left]), _unit([r["x"] for r in right])
-    ids = np.array([r["id"] for r in left + right])
-    own, others, copies = ids[: len(left)], ids[len(left) :], np.array([r["copies"] for r in right])
+    unit = _unit(table.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), -1))
+    a, b, own, others = unit[left], unit[right], ids[left], ids[right]
     n_links, links_a, links_b = np.zeros(len(left), np.int64), [], []
     for k in range(0, len(left), 256):
         near = (a[k : k + 256] @ b.T >= cosine) & (own[k : k + 256, None] != others[None, :])
-        n_links[k : k + 256] = near @ copies
+        n_links[k : k + 256] = near @ copies[right]
         i, j = np.nonzero(near)
-        links_a.append(i + k)
-        links_b.append(j + len(left))
-    found = [(int(ids[i]), int(n)) for i, n in enumerate(n_links) if n]
-    of = {x: k for k, x in enumerate(dict.fromkeys(ids.tolist()))}
-    place = np.array([of[x] for x in ids.tolist()])
-    names = list(of)
-    forest = _forest(place[np.concatenate(links_a)], place[np.concatenate(links_b)], len(names))
-    return found, [(names[x], names[y]) for x, y in forest]
+        links_a.append(own[i + k])
+        links_b.append(others[j])
+    found = [(int(own[i]), int(n_links[i])) for i in np.flatnonzero(n_links)]
+    # The same vector may stand on both sides: links are between ids.
+    names, place = np.unique(np.concatenate([*links_a, *links_b]), return_inverse=True)
+    half = len(place) // 2
+    return found, [(int(names[x]), int(names[y])) for x, y in _forest(place[:half], place[half:], len(names))]
 
 
 def links(vectors: DataFrame, cosine: float, path: str) -> None:
@@ -118,14 +126,14 @@ def links(vectors: DataFrame, cosine: float, path: str) -> None:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, xs = (batch.column(k).to_pylist() for k in range(3))
+            widths, flat = batch.column(2).value_lengths().to_pylist(), batch.column(2)
             rows: dict = {}
-            for k, (label, x) in enumerate(zip(labels, xs, strict=True)):
-                rows.setdefault((label, len(x)), []).append(k)
+            for k, key in enumerate(zip(batch.column(1).to_pylist(), widths, strict=True)):
+                rows.setdefault(key, []).append(k)
             vector, cell, home = [], [], []
             for key, own in rows.items():
                 if key in pivots.value:
-                    v, c, h = cells(_unit([xs[k] for k in own]), pivots.value[key], radius)
+                    v, c, h = cells(_unit(flat.take(pa.array(own)).flatten().to_numpy().reshape(len(own), -1)), pivots.value[key], radius)
                     vector += [own[k] for k in v.tolist()]
                     cell += c.tolist()
                     home += h.tolist()
@@ -147,7 +155,7 @@ def links(vectors: DataFrame, cosine: float, path: str) -> None:
     right = placed.select(*keys, F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "id", "x", "copies")
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        found, forest = joined(table.select(["side", "id", "x", "copies"]).to_pylist(), cosine)
+        found, forest = joined(table, cosine)
         rows = [(i, n, None) for i, n in found] + [(i, None, o) for i, o in forest]
         ids, n, other = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "other": pa.array(other, pa.int64())})
