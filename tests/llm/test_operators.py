@@ -214,6 +214,52 @@ def test_fingerprint_likeness_is_generalised_jaccard(spark):
     assert abs(np.mean(same) - sum((a & b).values()) / sum((a | b).values())) < 0.03
 
 
+def test_fingerprint_likeness_against_brute_force(spark, docs):
+    """Every sample of every text anew: the term, and how far its weight was rounded, that make the sample's value least."""
+    import struct
+
+    import xxhash
+
+    def xx(value, seed=42):
+        raw = value.encode() if isinstance(value, str) else struct.pack("<Q", value % 2**64)
+        return xxhash.xxh64(raw, seed=seed).intdigest()
+
+    def samples(text):
+        words = [xx(w) for w in text.lower().split()]
+        grams = Counter()
+        for gram in [words[k : k + 5] for k in range(len(words) - 4)] or ([words] if words else []):
+            if len(words) >= 5:
+                h = 42
+                for w in gram:
+                    h = xx(w, h)
+            else:  # a shorter text is one term: the hash of the array of its words
+                h = 42
+                for w in gram:
+                    h = xx(w, h)
+            grams[h] += 1
+        out = []
+        for k in range(fingerprints.SAMPLES):
+            best = None
+            for term, weight in grams.items():
+                u = [((xx(term ^ (0x9E3779B97F4A7C15 * (5 * k + j + 1) % 2**63)) >> 11) + 0.5) * 2.0**-53 for j in range(5)]
+                r, c, b = -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]
+                t = np.floor(np.log(weight) / r + b)
+                best = min(best, (np.log(c) - r * (t - b) - r, term, t)) if best else (np.log(c) - r * (t - b) - r, term, t)
+            out.append(best and best[1:])
+        return out
+
+    some = sorted((d, t or "") for d, t in TEXTS if d not in (2, 6, 12, None))
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprints(docs.where("doc_id NOT IN (2, 6, 12)")).collect()}
+    assert len(rows) == len(some)
+    for k, (d, text) in enumerate(some):
+        after = some[k - 1][1]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        own, cut, other = samples(text), samples(edited), samples(after)
+        assert rows[d]["near_edited"] == sum(x == y for x, y in zip(own, cut, strict=True)) / fingerprints.SAMPLES, d
+        assert rows[d]["near_next"] == sum(x == y for x, y in zip(own, other, strict=True)) / fingerprints.SAMPLES, d
+
+
 def probability_jaccard(a, b):
     return sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in a.keys() | b.keys()) for d in a.keys() & b.keys())
 
@@ -315,6 +361,34 @@ def test_quality(spark, none):
     assert quality.train_and_score(none, empty).count() == 0
 
 
+def test_quality_against_plain_discriminant(spark):
+    r = random.Random(5)
+    texts = [(k, prose(500 + k, r.randrange(1, 120)) + (" !!! ||| 777 ABC" * r.randrange(9) if k % 3 else "")) for k in range(150)] + [(None, None), (7, "")]
+    labels = [(k, int(k % 3 == 0)) for k in range(120)] + [(3, None), (4, 2), (5, 1)]
+    got = quality.train_and_score(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    x = {k: [] for k in (0, 1)}
+    for d, t in texts:
+        for e, y in labels:
+            if d == e and y in x and zlib.crc32(str(d).encode()) % 3 != 1:
+                x[y].append(quality.statistics(t or ""))
+    x = {k: np.array(v) for k, v in x.items()}
+    n = sum(map(len, x.values()))
+    pooled = sum(len(v) * np.cov(v.T, bias=True) for v in x.values()) / n
+
+    def density(v, k):
+        own = (1 - quality.POOLED) * np.cov(x[k].T, bias=True) + quality.POOLED * pooled
+        own = (1 - quality.DIAGONAL) * own + quality.DIAGONAL * np.diag(np.diag(own)) + quality.FLOOR * np.eye(len(own))
+        d = v - x[k].mean(axis=0)
+        return np.log(len(x[k]) / n) - (d @ np.linalg.solve(own, d) + np.linalg.slogdet(own)[1]) / 2
+
+    def score(t):
+        v = np.array(quality.statistics(t or ""))
+        return 1 / (1 + np.exp(np.clip(density(v, 0) - density(v, 1), -700, 700)))
+
+    want = sorted((repr(d), round(float(score(t)), 9)) for d, t in texts)
+    assert sorted((repr(r["doc_id"]), round(r["score"], 9)) for r in got) == want
+
+
 def test_line_dedup(spark, docs, none):
     line, other = "This line is repeated in many documents.", "Another one with five words."
     rows = [(3, f"Own start of this document here.\n{line}\nEnd."), (1, f"First text that stands alone. {line.upper()}"), (2, f"{line} {other} {line}"), (2, f"{line} {other} {line}"), (4, None), (5, ""), (6, "short one"), (7, "short one"), (8, f"  {other}  ")]
