@@ -24,7 +24,7 @@ from passage_engine import session
 
 WEIGHTS, SHARE, MOST_EPOCHS = (5, 2, 1), 1.5, 2
 #: Rows in a range of the hash, and sources whose cuts are sent to all executors (about 100 bytes each).
-RANGE_ROWS, BROADCAST_SOURCES = 16384, 100_000
+RANGE_ROWS, BROADCAST_SOURCES = 2048, 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,13 +46,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     whole = W.partitionBy()
     before = F.sum("most").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("most")
     weights = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    level = (F.lit(SHARE) * F.sum("source_size").over(whole) - before) / weights
-    level = F.max("step").over(whole), level
+    step = (F.lit(SHARE) * F.sum("source_size").over(whole) - before) / weights
     return (
         per.withColumn("weight", weight)
         .withColumn("most", most)
-        .withColumn("step", level[1])
-        .withColumn("level", level[0])
+        .withColumn("step", step)
+        .withColumn("level", F.max("step").over(whole))
         .select("source", "rows", "source_size", F.least(F.col("most"), F.col("level") * F.col("weight")).alias("target"))
     )
 
