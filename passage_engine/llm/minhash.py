@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from passage_engine.llm.hashing import mix64, windows
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 52, 7
 REGISTERS = BANDS * ROWS
-#: Texts and characters meant for a block.
-BLOCK_TEXTS, BLOCK_CHARS = 1024, 4 << 20
+#: Texts and characters meant for a block, and characters that are sketched at once.
+BLOCK_TEXTS, BLOCK_CHARS, SKETCH_CHARS = 1024, 4 << 20, 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -105,7 +106,14 @@ def sketch(number: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int)
 
 
 def band_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each text, (n, BANDS), and whether it has shingles."""
+    """Keys of each text, (n, BANDS), and whether it has shingles; about SKETCH_CHARS of text at once."""
+    ends = np.cumsum([len(t) for t in texts]) // SKETCH_CHARS
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    found = [_band_keys(texts[i:j]) for i, j in pairwise(edges)]
+    return np.concatenate([k for k, _ in found]), np.concatenate([s for _, s in found])
+
+
+def _band_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     number, hashes, weights = shingle_weights(texts)
     held = sketch(number, hashes, weights, len(texts)).reshape(len(texts), BANDS, ROWS)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), BANDS))
