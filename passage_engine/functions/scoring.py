@@ -41,6 +41,11 @@ def coverage_idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def level(score: Column) -> Column:
+    """A score in steps of 1e-9, as a whole number to sort by: scores that differ by rounding alone are one level."""
+    return F.floor(score * 1e9 + 0.5)
+
+
 def minmax(score: Column, *by: str) -> Column:
     """Scores of a group brought to 0..1; 1 where all are equal; null stays null."""
     group = W.partitionBy(*by)

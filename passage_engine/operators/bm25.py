@@ -104,5 +104,5 @@ def search_index(found: DataFrame, terms: DataFrame, top_n: int, scope: DataFram
 
 def ranked(hits: DataFrame, top_n: int, score: str = "score") -> DataFrame:
     """The best rows of each query with their rank from 1; scores that differ by rounding alone rank by id."""
-    order = W.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "id")
+    order = W.partitionBy("query_id").orderBy(scoring.level(F.col(score)).desc(), "id")
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_n)
