@@ -1,27 +1,26 @@
 """Suffix-array dedup: bytes covered by a string of ``MATCH`` bytes that also starts elsewhere are removed.
 
-The construction is blockwise suffix sorting with a difference cover, in two departures that README explains with figures:
-suffixes are ordered by hashes of their prefixes, not by letters, as any order that brings equal prefixes together serves
-here and raw prefixes would be many times the input; and the cover's places prune suffixes instead of resolving ties.
-
-A difference cover modulo v is a set of residues such that any two positions i, j have a shift s < v with both i + s and
-j + s in the set. So two equal strings of MATCH bytes, at i and j, hold two equal strings of MATCH - v + 1 bytes at
-positions of the cover.
-
-1. Cover. The suffixes at the cover's positions, about one in seventeen, are keyed by a 64-bit hash of their first
-   MATCH - v + 1 bytes and dealt to buckets of the key; each bucket is sorted by itself. Keys that occur once, nearly all
-   of them, end here.
-2. Suffix buckets. Only suffixes with a shared key of the cover within v bytes can repeat for MATCH bytes. They are keyed
-   by another hash, of their first MATCH bytes, dealt to buckets and sorted, one bucket at a time: a long tie needs no
-   comparison of bytes, and a task holds one bucket.
-3. Every suffix that shares its key covers MATCH bytes of its document; what is covered is cut out.
-
-Texts are packed once into blocks of about ``BLOCK`` bytes, in a table bucketed by block, so that no later step moves
-them: a block sends each bucket its distinct keys, sorted, and gets back one bit per key. A passage that any number of
-documents share therefore sends one key per block. Equal texts, told apart by 128 bits, are one text from the start.
-
-Bytes are not compared. The two hashes have independent tables and bases; a false repeat needs a collision of both, of the
-second one among suffixes that pass the first.
+The construction is blockwise suffix sorting with a difference cover. A difference cover modulo v is a set of residues such
+that any two positions i, j have a shift s < v with both i + s and j + s in the set.
+
+1. Pruning. Two equal strings of MATCH bytes hold equal strings of MATCH - v + 1 bytes at positions of a cover. Suffixes at
+   the positions of a wide cover, about one in seventeen, are keyed by a hash of those bytes, and the suffixes that a shared
+   key lets through by a hash of their first MATCH bytes. Hashes only leave out suffixes that cannot repeat: equal strings
+   have equal hashes. Nothing is taken as repeated because of a hash.
+2. Blocks. Within a block, suffixes of one key are compared byte by byte with the first of them; equal ones are one class,
+   and a class goes to the other blocks once.
+3. Cover ranks. For the classes that other blocks may have too, the suffixes at the positions of a narrow cover (modulo
+   ``v`` of about MATCH / 12) are sorted by their first MATCH - v + 1 bytes, one range of leading letters at a time, and ranked.
+4. Suffix buckets. The suffixes themselves are sorted one range of leading letters at a time, by their first v - 1 and the
+   last v - 1 of their MATCH bytes; ties between are resolved by the ranks at the shift that the cover gives for the pair. So
+   a suffix carries a few letters and ranks, whatever the length of the tie, and a task holds one bucket.
+5. Every suffix that is equal to another one covers MATCH bytes of its document; what is covered is cut out.
+
+Ranges of letters are worked off in ``PASSES`` passes, each of which frees its shuffle, so that one share of the suffixes is
+on disk at a time. Ranges come from at most ``HEADS`` sampled suffixes; where these are too few, a range is dealt to several
+buckets by a hash of the letters. Texts are packed once into blocks of about ``BLOCK`` bytes, in a table bucketed by block,
+so that no later step moves them. A passage that any number of documents share sends one suffix per block. Equal texts,
+told apart by 128 bits, are one text from the start.
 
 Defined results: null and empty texts, and texts shorter than MATCH bytes, keep all; a text of MATCH bytes or more that
 occurs in two rows is removed from both; rows of one id are separate documents; strings never cross documents; other
@@ -43,11 +42,15 @@ from pyspark.sql import functions as F
 
 from passage_engine import session
 from passage_engine.llm.batches import bound
-from passage_engine.llm.hashing import mix64, prefix, windows
+from passage_engine.llm.hashing import mix64, windows
 
 MATCH = 400
 #: Bytes of text in a block, and bytes of keys meant for a bucket.
 BLOCK, BUCKET = 4 << 20, 8 << 20
+#: Bytes of sorted suffixes meant for a bucket, passes over the ranges of letters, sampled suffixes that divide the ranges
+#: (one of ``SPARSE`` suffixes at most) and their letters.
+SORTED, PASSES, HEADS, SPARSE, LETTERS = 16 << 20, 4, 1 << 16, 1024, 64
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @cache
@@ -105,11 +108,40 @@ class Block:
         may = np.flatnonzero(_covered(low, high + 1, len(self.raw)))
         return may, self._keys(may, self.match, 1)
 
-    def removed(self, bits: bytes, more: bytes) -> np.ndarray:
-        """Whether each byte is covered by a string that repeats."""
+    def strings(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The bytes from each position on, as an array of byte strings of one length."""
+        shape = (max(0, len(self.raw) - length + 1),)
+        return np.ndarray(shape, f"S{length}", self.raw, strides=(1,))[at]
+
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the first bytes from a and from b, as many as match, are the same."""
+        width = 8 if self.match >= 8 else 1
+        words = np.ndarray((max(0, len(self.raw) - width + 1),), f"u{width}", self.raw, strides=(1,))
+        same = np.ones(len(a), bool)
+        for k in [*range(0, self.match - width, width), self.match - width]:
+            same &= words[a + k] == words[b + k]
+        return same
+
+    def classes(self, bits: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes that may repeat and the class of each; per class of equal suffixes its first position, whether it
+        occurs twice here, and whether another block may have it.
+        """
         at, (keys, place, twice) = self.suffixes(bits)
-        repeats = at[(twice | _unpacked(more, len(keys)))[place]]
-        return _covered(repeats, repeats + self.match, len(self.raw))
+        other = _unpacked(more, len(keys))
+        held = (twice | other)[place]
+        at, place = at[held], place[held]
+        key, first, of = np.unique(place, return_index=True, return_inverse=True)
+        first, asked = at[first], other[key]
+        strays = np.flatnonzero(~self._equal(at, first[of]))  # one key, other bytes
+        of[strays] = len(first) + np.arange(len(strays))
+        first, asked = np.concatenate([first, at[strays]]), np.concatenate([asked, np.ones(len(strays), bool)])
+        return at, of, first, np.bincount(of, minlength=len(first)) > 1, asked
+
+
+def narrow_cover(match: int) -> tuple[int, np.ndarray]:
+    """Modulus v of the ranked cover, and per residue r the shifts s < v with r + s in the cover."""
+    v, cover = difference_cover(max(7, match // 12))
+    return v, np.sort((np.array(cover)[None, :] - np.arange(v)[:, None]) % v, axis=1)
 
 
 def _covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
@@ -211,22 +243,170 @@ def _results(docs: DataFrame, doc_id: str, text: str, match: int, with_text: boo
     name, place = f"repeat_blocks_{uuid.uuid4().hex}", session.scratch(spark, "repeats-blocks")
     packed = texts.mapInArrow(pack, "block long, h1 array<long>, h2 array<long>, copies array<long>, lengths array<int>, payload binary")
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
-    made = [place]
+    made, freed = [place], spark.conf.get(FREE_SHUFFLES, None)
     try:
+        if freed is not None:
+            spark.conf.set(FREE_SHUFFLES, "true")
         packed.write.bucketBy(min(most, max(8, total // (2 * BLOCK))), "block").option("path", place).option("compression", "zstd").format("parquet").saveAsTable(name)
         done_path = _cut(spark.table(name), total, match, with_text, made)
     finally:
+        if freed is not None:
+            spark.conf.set(FREE_SHUFFLES, freed)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in made:
             session.remove(spark, path)
     return base, spark.read.parquet(done_path).dropDuplicates(["h1", "h2"])
 
 
+def _small(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True) if x.size else b""
+
+
+def _large(data: bytes, kind: str, n: int) -> np.ndarray:
+    size = n * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True) if size else b"", kind)
+
+
+class State:
+    """What a block keeps of its classes between the passes."""
+
+    SCHEMA = "block long, n int, at binary, of binary, classes int, first binary, twice binary, asked binary, heads array<binary>"
+
+    @staticmethod
+    def row(block: Block, number: int, bits: bytes, more: bytes) -> dict:
+        at, of, first, twice, asked = block.classes(bits, more)
+        heads = first[asked][::SPARSE]
+        steps = [_small(np.diff(x, prepend=0).astype(np.int32)) for x in (at, of, first)]
+        letters = [block.raw[h : h + min(LETTERS, block.match)].tobytes() for h in heads.tolist()]
+        return {"block": number, "n": len(at), "at": steps[0], "of": steps[1], "classes": len(first), "first": steps[2], "twice": np.packbits(twice).tobytes(), "asked": np.packbits(asked).tobytes(), "heads": letters}
+
+    def __init__(self, row: dict):
+        n, classes = row["n"], row["classes"]
+        self.at, self.of, self.first = (np.cumsum(_large(row[c], "i4", k), dtype=np.int64) for c, k in (("at", n), ("of", n), ("first", classes)))
+        self.twice, self.asked = _unpacked(row["twice"], classes), _unpacked(row["asked"], classes)
+
+
+class Ranges:
+    """Buckets of ranges of leading letters, and of hashes of the letters where the ranges are too few."""
+
+    def __init__(self, heads: list[bytes], wanted: int):
+        take = np.linspace(0, len(heads), min(wanted, len(heads) + 1), endpoint=False).astype(int)[1:]
+        self.limits = sorted({sorted(heads)[k] for k in take.tolist()})
+        self.parts = max(1, -(-wanted // (len(self.limits) + 1)))
+        self.buckets = (len(self.limits) + 1) * self.parts
+
+    def of(self, letters: np.ndarray) -> np.ndarray:
+        """The bucket of each string."""
+        found = np.searchsorted(np.array(self.limits, f"S{LETTERS}"), letters, "right") if self.limits else np.zeros(len(letters), np.int64)
+        if self.parts == 1 or not len(letters):
+            return found
+        width = letters.dtype.itemsize
+        starts = np.arange(len(letters)) * width
+        hashed = mix64(windows(np.frombuffer(letters.tobytes(), np.uint8), starts, starts + width))
+        return found * self.parts + (hashed % np.uint64(self.parts)).astype(np.int64)
+
+
+def _dealt(number: int, letters: np.ndarray, ranks: np.ndarray | None, residues: np.ndarray | None, ranges: Ranges, turn: int) -> Iterator[pa.RecordBatch]:
+    """The sorted strings of a block that belong to this turn, a slice for each bucket."""
+    bucket = ranges.of(letters)
+    order = np.argsort(bucket, kind="stable")
+    full, begin = np.unique(bucket[order], return_index=True)
+    rows: list[list] = [[], [], [], [], []]
+    for b, at in zip(full.tolist(), np.split(order, begin[1:]), strict=True) if len(full) else ():
+        if b * PASSES // ranges.buckets == turn:
+            extra = (b"", b"") if ranks is None else (_small(np.ascontiguousarray(ranks[at].T)), _small(residues[at]))
+            for column, x in zip(rows, (b, len(at), _small(letters[at]), *extra), strict=True):
+                column.append(x)
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["bucket", "n", "letters", "ranks", "residues"]
+    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows[0]), pa.int64()), *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))], ["block", *names])
+
+
+_DEALT, _ANSWERED = "block long, bucket int, n int, letters binary, ranks binary, residues binary", "block long, bucket int, n int, found binary"
+
+
+def _letters(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The strings of all blocks in a bucket, sorted and numbered: order, number of each in that order, sizes of slices."""
+    sizes = table.column("n").to_pylist()
+    strings = np.concatenate([_large(x, f"S{width}", n) for x, n in zip(table.column("letters").to_pylist(), sizes, strict=True)])
+    order = np.argsort(strings, kind="stable")
+    ordered = strings[order]
+    return order, np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]), sizes
+
+
+def _back(table: pa.Table, parts: list[bytes]) -> pa.Table:
+    return pa.table([table.column("block"), table.column("bucket"), table.column("n"), pa.array(parts, pa.binary())], names=["block", "bucket", "n", "found"])
+
+
+def _ranked(width: int):
+    """Ranks of the cover's suffixes in one bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order, number, sizes = _letters(table, width)
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = number + (table.column("bucket")[0].as_py() << 32)
+        return _back(table, [_small(x) for x in np.split(ranks, np.cumsum(sizes)[:-1])])
+
+    return run
+
+
+def _resolved(match: int):
+    """Of one bucket of suffixes: which are equal to one of another block. Equal letters at both ends and equal ranks at a
+    common shift are equal strings, and equal strings have a common shift.
+    """
+    v, shifts = narrow_cover(match)
+
+    def run(table: pa.Table) -> pa.Table:
+        order, number, sizes = _letters(table, 2 * (v - 1))
+        letters = np.empty(len(order), np.int64)
+        letters[order] = number
+        width = shifts.shape[1]
+        ranks = np.concatenate([_large(x, "i8", n * width).reshape(width, n).T for x, n in zip(table.column("ranks").to_pylist(), sizes, strict=True)])
+        residues = np.concatenate([_large(x, "u2", n) for x, n in zip(table.column("residues").to_pylist(), sizes, strict=True)])
+        known, rank = np.unique(ranks, return_inverse=True)
+        ties = ((letters[:, None] * v + shifts[residues]) * len(known) + rank.reshape(ranks.shape)).ravel()
+        by = np.argsort(ties)
+        same = ties[by][1:] == ties[by][:-1]
+        equal = np.zeros(len(ties), bool)
+        equal[by[1:][same]] = equal[by[:-1][same]] = True
+        equal = equal.reshape(ranks.shape).any(axis=1)
+        return _back(table, [np.packbits(x).tobytes() for x in np.split(equal, np.cumsum(sizes)[:-1])])
+
+    return run
+
+
+def _in_order(bucket: np.ndarray, answers: list[dict] | None, read) -> np.ndarray:
+    """The answers of all buckets, in the order of the block's strings."""
+    parts = [read(a["found"], a["n"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
+    found = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    out = np.empty(len(bucket), found.dtype)
+    out[np.argsort(bucket, kind="stable")] = found
+    return out
+
+
+def _by_block(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "found")).alias("found")).hint("shuffle_hash")
+
+
 def _cut(blocks: DataFrame, total: int, match: int, with_text: bool, made: list[str]) -> str:
     """Where the results of all texts in the blocks are written; tables to be removed after are added to ``made``."""
     spark = blocks.sparkSession
     modulus, cover = difference_cover(max(7, match * 4 // 5))
     buckets = max(8, -(-total * len(cover) * 8 // (modulus * BUCKET)))
+    v, shifts = narrow_cover(match)
+    depth = match - v + 1
+
+    def path(name: str) -> str:
+        made.append(session.scratch(spark, f"repeats-{name}"))
+        return made[-1]
+
+    def rows(work):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield from work(Block(row["payload"], row["lengths"], match), row)
+
+        return run
 
     def sampled_keys(row: dict) -> np.ndarray:
         return Block(row["payload"], row["lengths"], match).sampled()[1][0]
@@ -234,31 +414,90 @@ def _cut(blocks: DataFrame, total: int, match: int, with_text: bool, made: list[
     def suffix_keys(row: dict) -> np.ndarray:
         return Block(row["payload"], row["lengths"], match).suffixes(_joined_bits(row["first"]))[1][0]
 
+    def pruned(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
+        state = State.row(block, row["block"], _joined_bits(row["first"]), _joined_bits(row["second"]))
+        kinds = {"block": pa.int64(), "n": pa.int32(), "classes": pa.int32(), "heads": pa.list_(pa.binary())}
+        yield pa.RecordBatch.from_arrays([pa.array([x], kinds.get(c, pa.binary())) for c, x in state.items()], list(state))
+
     texts_of = blocks.select("block", "lengths", "payload")
-    first_path, second_path, done_path = (session.scratch(spark, f"repeats-{x}") for x in ("cover", "suffixes", "done"))
-    made += [first_path, second_path]
+    first_path, second_path, state_path, cover_path, ranks_path, equal_path = (path(x) for x in ("cover", "suffixes", "classes", "cover-ranks", "ranks", "equal"))
     _asked(texts_of, buckets, sampled_keys).withColumnRenamed("answers", "first").write.parquet(first_path)
     first = spark.read.parquet(first_path).hint("shuffle_hash")
     _asked(texts_of.join(first, "block"), 4 * buckets, suffix_keys).withColumnRenamed("answers", "second").write.parquet(second_path)
     second = spark.read.parquet(second_path).hint("shuffle_hash")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row["payload"], row["lengths"], match)
-                gone = block.removed(_joined_bits(row["first"]), _joined_bits(row["second"]))
-                n_removed, n_spans, digests, kept = [], [], [], []
-                for start, end, copies in zip(block.starts.tolist(), block.ends.tolist(), row["copies"], strict=True):
-                    own = gone[start:end] if copies == 1 else np.ones(end - start, bool)
-                    rest = block.raw[start:end][~own].tobytes()
-                    n_removed.append(int(own.sum()))
-                    n_spans.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()))
-                    digests.append(sha256(rest).hexdigest())
-                    kept.append(rest.decode(errors="ignore") if with_text else None)
-                yield pa.RecordBatch.from_arrays([pa.array(row["h1"], pa.int64()), pa.array(row["h2"], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests), pa.array(kept, pa.string())], ["h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    both = blocks.join(first, "block").join(second, "block", "left")
-    both.select("block", "h1", "h2", "copies", "lengths", "payload", "first", "second").mapInArrow(cut, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").write.parquet(done_path)
+    texts_of.join(first, "block").join(second, "block", "left").mapInArrow(rows(pruned), State.SCHEMA).write.parquet(state_path)
+
+    states = spark.read.parquet(state_path)
+    n_heads = states.agg(F.sum(F.size("heads"))).first()[0] or 0
+    sparse = max(1, n_heads // HEADS)
+    heads = [bytes(r[0]) for r in states.select(F.explode("heads").alias("h")).where(F.expr(f"pmod(xxhash64(h), {sparse}) = 0")).collect()]
+    suffixes = len(heads) * sparse * SPARSE
+    cover_ranges = Ranges(heads, max(8, suffixes * shifts.shape[1] * depth // (v * SORTED)))
+    suffix_ranges = Ranges(heads, max(8, suffixes * (2 * v + 8 * shifts.shape[1]) // SORTED))
+    known = texts_of.join(states.drop("heads").hint("shuffle_hash"), "block")
+
+    def placed(block: Block, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First positions of the classes asked, of the cover's suffixes within them, and those suffixes' strings, sorted."""
+        state = State(row)
+        at = state.first[state.asked]
+        places = np.unique(at[:, None] + shifts[at % v])
+        return at, places, *np.unique(block.strings(places, depth), return_inverse=True)
+
+    def cover_suffixes(turn: int):
+        return rows(lambda block, row: _dealt(row["block"], placed(block, row)[2], None, None, cover_ranges, turn))
+
+    def ranks_of(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
+        _, places, keys, of = placed(block, row)
+        ranks = _in_order(cover_ranges.of(keys), row["found"], lambda x, n: _large(x, "i8", n))[of]
+        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([_small(ranks)], pa.binary())], ["block", "ranks"])
+
+    def letters_of(block: Block, at: np.ndarray) -> np.ndarray:
+        """The first and the last letters of each suffix, beyond which its ranks speak."""
+        both = [block.strings(x, v - 1).view(np.uint8).reshape(len(at), v - 1) for x in (at, at + depth)]
+        return np.ascontiguousarray(np.concatenate(both, axis=1)).view(f"S{2 * (v - 1)}").ravel()
+
+    def bucket_suffixes(turn: int):
+        def work(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
+            state = State(row)
+            at = state.first[state.asked]
+            over = at[:, None] + shifts[at % v]
+            places = np.unique(over)
+            ranks = _large(row["ranks"], "i8", len(places))[np.searchsorted(places, over)]
+            letters = letters_of(block, at)
+            yield from _dealt(row["block"], letters, ranks, (at % v).astype(np.uint16), suffix_ranges, turn)
+
+        return rows(work)
+
+    def sorted_in_turns(source: DataFrame, suffixes, answer, to: str) -> DataFrame:
+        for turn in range(PASSES):
+            source.mapInArrow(suffixes(turn), _DEALT).groupBy("bucket").applyInArrow(answer, _ANSWERED).write.mode("append").parquet(to)
+        return _by_block(spark.read.parquet(to))
+
+    found = sorted_in_turns(known, cover_suffixes, _ranked(depth), cover_path)
+    known.join(found, "block", "left").mapInArrow(rows(ranks_of), "block long, ranks binary").write.parquet(ranks_path)
+    with_ranks = known.join(spark.read.parquet(ranks_path).hint("shuffle_hash"), "block")
+    equal = sorted_in_turns(with_ranks, bucket_suffixes, _resolved(match), equal_path)
+
+    def cut(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
+        state = State(row)
+        again = state.twice.copy()
+        at = state.first[state.asked]
+        again[state.asked] |= _in_order(suffix_ranges.of(letters_of(block, at)), row["found"], _unpacked).astype(bool)
+        repeated = state.at[again[state.of]]
+        gone = _covered(repeated, repeated + match, len(block.raw))
+        n_removed, n_spans, digests, kept = [], [], [], []
+        for start, end, copies in zip(block.starts.tolist(), block.ends.tolist(), row["copies"], strict=True):
+            own = gone[start:end] if copies == 1 else np.ones(end - start, bool)
+            rest = block.raw[start:end][~own].tobytes()
+            n_removed.append(int(own.sum()))
+            n_spans.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()))
+            digests.append(sha256(rest).hexdigest())
+            kept.append(rest.decode(errors="ignore") if with_text else None)
+        yield pa.RecordBatch.from_arrays([pa.array(row["h1"], pa.int64()), pa.array(row["h2"], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests), pa.array(kept, pa.string())], ["h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    done_path = session.scratch(spark, "repeats-done")
+    both = blocks.join(states.drop("heads").hint("shuffle_hash"), "block").join(equal, "block", "left")
+    both.mapInArrow(rows(cut), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").write.parquet(done_path)
     return done_path
 
 

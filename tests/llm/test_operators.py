@@ -187,6 +187,52 @@ def test_difference_cover():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
+def test_suffix_classes_are_compared_by_bytes(monkeypatch):
+    """Keys that collide, here all of them, make nothing a repeat."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 101, 500, np.uint8).tobytes()
+    texts = [rng.integers(97, 101, 700, np.uint8).tobytes() + passage, passage + rng.integers(97, 101, 650, np.uint8).tobytes(), b"a" * 500]
+    monkeypatch.setattr(suffix_dedup, "mix64", lambda x: x % np.uint64(3))
+    block = suffix_dedup.Block(b"".join(texts), [len(t) for t in texts], 400)
+    at, of, first, twice, asked = block.classes(b"\xff" * 64, b"\xff" * 64)
+    raw = b"".join(texts)
+    for p, c in zip(at.tolist(), of.tolist(), strict=True):
+        assert raw[p : p + 400] == raw[first[c] : first[c] + 400]
+    assert asked.all() and twice.sum() <= len(first)
+
+
+def test_suffix_buckets_resolve_ties_by_ranks():
+    """The same answer from letters and ranks as from the whole strings, for suffixes of any residues."""
+    import pyarrow as pa
+
+    match = 60
+    v, shifts = suffix_dedup.narrow_cover(match)
+    rng = np.random.default_rng(6)
+    raw = rng.integers(97, 99, 300, np.uint8)
+    raw = np.concatenate([raw[:90], raw[40:150], raw[:80], rng.integers(97, 99, 40, np.uint8), raw[50:140]])
+    block = suffix_dedup.Block(raw.tobytes(), [len(raw)], match)
+    at = np.arange(len(raw) - match + 1)
+    depth = match - v + 1
+    ranks = np.unique(block.strings(np.arange(len(raw) - depth + 1), depth), return_inverse=True)[1][at[:, None] + shifts[at % v]]
+    both = [block.strings(x, v - 1).view(np.uint8).reshape(len(at), v - 1) for x in (at, at + depth)]
+    letters = np.ascontiguousarray(np.concatenate(both, axis=1)).view(f"S{2 * (v - 1)}").ravel()
+    small = suffix_dedup._small
+    table = pa.table({"block": [1], "bucket": pa.array([0], pa.int32()), "n": pa.array([len(at)], pa.int32()), "letters": [small(letters)], "ranks": [small(np.ascontiguousarray(ranks.T))], "residues": [small((at % v).astype(np.uint16))]})
+    got = suffix_dedup._unpacked(suffix_dedup._resolved(match)(table).column("found")[0].as_py(), len(at))
+    seen = Counter(raw[k : k + match].tobytes() for k in at)
+    want = [seen[raw[k : k + match].tobytes()] > 1 for k in at]
+    assert got.tolist() == want and any(want) and not all(want)
+
+
+def test_suffix_ranges_keep_equal_letters_together():
+    letters = np.sort(np.array([b"aa", b"ab", b"ab", b"b\0", b"ca", b"cb"], "S2"))
+    for heads, wanted in (([], 1), ([], 5), ([b"ab", b"b", b"ca"], 3), ([b"ab"], 9)):
+        ranges = suffix_dedup.Ranges(heads, wanted)
+        found = ranges.of(letters)
+        assert found[1] == found[2] and found.min() >= 0 and found.max() < ranges.buckets
+        assert ranges.parts > 1 or (np.diff(found) >= 0).all()
+
+
 def test_fingerprints(docs, none):
     rows = fingerprints.fingerprints(docs).collect()
     assert len(rows) == len(TEXTS)
