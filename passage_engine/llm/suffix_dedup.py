@@ -16,8 +16,8 @@ that any two positions i, j have a shift s < v with both i + s and j + s in the
    a suffix carries a few letters and ranks, whatever the length of the tie, and a task holds one bucket.
 5. Every suffix that is equal to another one covers MATCH bytes of its document; what is covered is cut out.
 
-Ranges of letters are worked off in ``PASSES`` passes, each of which frees its shuffle, so that one share of the suffixes is
-on disk at a time. Ranges come from at most ``HEADS`` sampled suffixes; where these are too few, a range is dealt to several
+The ranges of the suffixes are worked off in ``PASSES`` passes, each of which frees its shuffle, so that one share of them
+is on disk at a time; the cover's suffixes, which are fewer, in one. Ranges come from at most ``HEADS`` sampled suffixes; where these are too few, a range is dealt to several
 buckets by a hash of the letters. Texts are packed once into blocks of about ``BLOCK`` bytes, in a table bucketed by block,
 so that no later step moves them. A passage that any number of documents share sends one suffix per block. Equal texts,
 told apart by 128 bits, are one text from the start.
@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from passage_engine import session
 from passage_engine.llm.batches import bound
@@ -49,7 +51,7 @@ MATCH = 400
 BLOCK, BUCKET = 4 << 20, 8 << 20
 #: Bytes of sorted suffixes meant for a bucket, passes over the ranges of letters, sampled suffixes that divide the ranges
 #: (one of ``SPARSE`` suffixes at most) and their letters.
-SORTED, PASSES, HEADS, SPARSE, LETTERS = 16 << 20, 4, 1 << 16, 1024, 64
+SORTED, PASSES, HEADS, SPARSE, LETTERS = 16 << 20, 3, 1 << 16, 1024, 64
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -130,8 +132,11 @@ class Block:
         other = _unpacked(more, len(keys))
         held = (twice | other)[place]
         at, place = at[held], place[held]
-        key, first, of = np.unique(place, return_index=True, return_inverse=True)
-        first, asked = at[first], other[key]
+        key = np.flatnonzero(twice | other)
+        first = np.zeros(len(keys), np.int64)
+        first[place[::-1]] = at[::-1]  # of equal places the last one written, the first position, stays
+        first, asked = first[key], other[key]
+        of = (np.cumsum(twice | other) - 1)[place]
         strays = np.flatnonzero(~self._equal(at, first[of]))  # one key, other bytes
         of[strays] = len(first) + np.arange(len(strays))
         first, asked = np.concatenate([first, at[strays]]), np.concatenate([asked, np.ones(len(strays), bool)])
@@ -247,12 +252,14 @@ def _results(docs: DataFrame, doc_id: str, text: str, match: int, with_text: boo
     try:
         if freed is not None:
             spark.conf.set(FREE_SHUFFLES, "true")
-        packed.write.bucketBy(min(most, max(8, total // (2 * BLOCK))), "block").option("path", place).option("compression", "zstd").format("parquet").saveAsTable(name)
-        done_path = _cut(spark.table(name), total, match, with_text, made)
+        dealt = min(most, max(8, total // (2 * BLOCK)))
+        packed.write.bucketBy(dealt, "block").option("path", place).option("compression", "zstd").format("parquet").saveAsTable(name)
+        done_path = _cut(spark.table(name), f"{name}_classes", dealt, total, match, with_text, made)
     finally:
         if freed is not None:
             spark.conf.set(FREE_SHUFFLES, freed)
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for table in (name, f"{name}_classes"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         for path in made:
             session.remove(spark, path)
     return base, spark.read.parquet(done_path).dropDuplicates(["h1", "h2"])
@@ -270,15 +277,15 @@ def _large(data: bytes, kind: str, n: int) -> np.ndarray:
 class State:
     """What a block keeps of its classes between the passes."""
 
-    SCHEMA = "block long, n int, at binary, of binary, classes int, first binary, twice binary, asked binary, heads array<binary>"
+    SCHEMA = "block long, h1 array<long>, h2 array<long>, copies array<long>, lengths array<int>, payload binary, n int, at binary, of binary, classes int, first binary, twice binary, asked binary, heads array<binary>"
 
     @staticmethod
-    def row(block: Block, number: int, bits: bytes, more: bytes) -> dict:
+    def row(block: Block, bits: bytes, more: bytes) -> dict:
         at, of, first, twice, asked = block.classes(bits, more)
         heads = first[asked][::SPARSE]
         steps = [_small(np.diff(x, prepend=0).astype(np.int32)) for x in (at, of, first)]
         letters = [block.raw[h : h + min(LETTERS, block.match)].tobytes() for h in heads.tolist()]
-        return {"block": number, "n": len(at), "at": steps[0], "of": steps[1], "classes": len(first), "first": steps[2], "twice": np.packbits(twice).tobytes(), "asked": np.packbits(asked).tobytes(), "heads": letters}
+        return {"n": len(at), "at": steps[0], "of": steps[1], "classes": len(first), "first": steps[2], "twice": np.packbits(twice).tobytes(), "asked": np.packbits(asked).tobytes(), "heads": letters}
 
     def __init__(self, row: dict):
         n, classes = row["n"], row["classes"]
@@ -306,20 +313,15 @@ class Ranges:
         return found * self.parts + (hashed % np.uint64(self.parts)).astype(np.int64)
 
 
-def _dealt(number: int, letters: np.ndarray, ranks: np.ndarray | None, residues: np.ndarray | None, ranges: Ranges, turn: int) -> Iterator[pa.RecordBatch]:
-    """The sorted strings of a block that belong to this turn, a slice for each bucket."""
-    bucket = ranges.of(letters)
+def _dealt(number: int, bucket: np.ndarray, letters: np.ndarray, ranks: np.ndarray | None = None, residues: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The strings of a block, a slice for each bucket."""
     order = np.argsort(bucket, kind="stable")
     full, begin = np.unique(bucket[order], return_index=True)
-    rows: list[list] = [[], [], [], [], []]
-    for b, at in zip(full.tolist(), np.split(order, begin[1:]), strict=True) if len(full) else ():
-        if b * PASSES // ranges.buckets == turn:
-            extra = (b"", b"") if ranks is None else (_small(np.ascontiguousarray(ranks[at].T)), _small(residues[at]))
-            for column, x in zip(rows, (b, len(at), _small(letters[at]), *extra), strict=True):
-                column.append(x)
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["bucket", "n", "letters", "ranks", "residues"]
-    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows[0]), pa.int64()), *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))], ["block", *names])
+    slices = np.split(order, begin[1:]) if len(full) else []
+    extra = [(b"", b"") if ranks is None else (_small(np.ascontiguousarray(ranks[at].T)), _small(residues[at])) for at in slices]
+    columns = [pa.array([number] * len(slices), pa.int64()), pa.array(full, pa.int32()), pa.array([len(at) for at in slices], pa.int32())]
+    columns += [pa.array(x, pa.binary()) for x in ([_small(letters[at]) for at in slices], [r for r, _ in extra], [r for _, r in extra])]
+    yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "n", "letters", "ranks", "residues"])
 
 
 _DEALT, _ANSWERED = "block long, bucket int, n int, letters binary, ranks binary, residues binary", "block long, bucket int, n int, found binary"
@@ -388,8 +390,12 @@ def _by_block(parts: DataFrame) -> DataFrame:
     return parts.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "found")).alias("found")).hint("shuffle_hash")
 
 
-def _cut(blocks: DataFrame, total: int, match: int, with_text: bool, made: list[str]) -> str:
-    """Where the results of all texts in the blocks are written; tables to be removed after are added to ``made``."""
+def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_text: bool, made: list[str]) -> str:
+    """Where the results of all texts in the blocks are written; tables to be removed after are added to ``made``.
+
+    The blocks with what is known of their suffixes are table ``name``, dealt to as many buckets as the blocks, so that no
+    step moves them.
+    """
     spark = blocks.sparkSession
     modulus, cover = difference_cover(max(7, match * 4 // 5))
     buckets = max(8, -(-total * len(cover) * 8 // (modulus * BUCKET)))
@@ -415,39 +421,47 @@ def _cut(blocks: DataFrame, total: int, match: int, with_text: bool, made: list[
         return Block(row["payload"], row["lengths"], match).suffixes(_joined_bits(row["first"]))[1][0]
 
     def pruned(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
-        state = State.row(block, row["block"], _joined_bits(row["first"]), _joined_bits(row["second"]))
-        kinds = {"block": pa.int64(), "n": pa.int32(), "classes": pa.int32(), "heads": pa.list_(pa.binary())}
-        yield pa.RecordBatch.from_arrays([pa.array([x], kinds.get(c, pa.binary())) for c, x in state.items()], list(state))
+        kept = row | State.row(block, _joined_bits(row["first"]), _joined_bits(row["second"]))
+        yield pa.RecordBatch.from_pylist([{c: kept[c] for c in held.names}], schema=held)
 
+    held = to_arrow_schema(StructType.fromDDL(State.SCHEMA))
     texts_of = blocks.select("block", "lengths", "payload")
     first_path, second_path, state_path, cover_path, ranks_path, equal_path = (path(x) for x in ("cover", "suffixes", "classes", "cover-ranks", "ranks", "equal"))
     _asked(texts_of, buckets, sampled_keys).withColumnRenamed("answers", "first").write.parquet(first_path)
     first = spark.read.parquet(first_path).hint("shuffle_hash")
     _asked(texts_of.join(first, "block"), 4 * buckets, suffix_keys).withColumnRenamed("answers", "second").write.parquet(second_path)
     second = spark.read.parquet(second_path).hint("shuffle_hash")
-    texts_of.join(first, "block").join(second, "block", "left").mapInArrow(rows(pruned), State.SCHEMA).write.parquet(state_path)
+    blocks.join(first, "block").join(second, "block", "left").mapInArrow(rows(pruned), State.SCHEMA).write.bucketBy(dealt, "block").option("path", state_path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    for done in (*made[:1], first_path, second_path):
+        session.remove(spark, done)
 
-    states = spark.read.parquet(state_path)
+    states = spark.table(name)
     n_heads = states.agg(F.sum(F.size("heads"))).first()[0] or 0
     sparse = max(1, n_heads // HEADS)
     heads = [bytes(r[0]) for r in states.select(F.explode("heads").alias("h")).where(F.expr(f"pmod(xxhash64(h), {sparse}) = 0")).collect()]
     suffixes = len(heads) * sparse * SPARSE
     cover_ranges = Ranges(heads, max(8, suffixes * shifts.shape[1] * depth // (v * SORTED)))
     suffix_ranges = Ranges(heads, max(8, suffixes * (2 * v + 8 * shifts.shape[1]) // SORTED))
-    known = texts_of.join(states.drop("heads").hint("shuffle_hash"), "block")
+    known = states.select("block", "lengths", "payload", "n", "at", "of", "classes", "first", "twice", "asked")
 
-    def placed(block: Block, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First positions of the classes asked, of the cover's suffixes within them, and those suffixes' strings, sorted."""
+    def placed(block: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """First positions of the classes asked, and whether each byte begins one of the cover's suffixes within them."""
         state = State(row)
         at = state.first[state.asked]
-        places = np.unique(at[:, None] + shifts[at % v])
-        return at, places, *np.unique(block.strings(places, depth), return_inverse=True)
+        places = np.zeros(len(block.raw), bool)
+        places[at[:, None] + shifts[at % v]] = True
+        return at, places
 
-    def cover_suffixes(turn: int):
-        return rows(lambda block, row: _dealt(row["block"], placed(block, row)[2], None, None, cover_ranges, turn))
+    def cover_strings(block: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of the cover's suffixes, sorted, and the number of each place among them."""
+        return np.unique(block.strings(np.flatnonzero(placed(block, row)[1]), depth), return_inverse=True)
+
+    def cover_suffixes(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
+        keys = cover_strings(block, row)[0]
+        yield from _dealt(row["block"], cover_ranges.of(keys), keys)
 
     def ranks_of(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
-        _, places, keys, of = placed(block, row)
+        keys, of = cover_strings(block, row)
         ranks = _in_order(cover_ranges.of(keys), row["found"], lambda x, n: _large(x, "i8", n))[of]
         yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([_small(ranks)], pa.binary())], ["block", "ranks"])
 
@@ -458,25 +472,24 @@ def _cut(blocks: DataFrame, total: int, match: int, with_text: bool, made: list[
 
     def bucket_suffixes(turn: int):
         def work(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
-            state = State(row)
-            at = state.first[state.asked]
-            over = at[:, None] + shifts[at % v]
-            places = np.unique(over)
-            ranks = _large(row["ranks"], "i8", len(places))[np.searchsorted(places, over)]
+            at, places = placed(block, row)
             letters = letters_of(block, at)
-            yield from _dealt(row["block"], letters, ranks, (at % v).astype(np.uint16), suffix_ranges, turn)
+            bucket = suffix_ranges.of(letters)
+            mine = bucket * PASSES // suffix_ranges.buckets == turn
+            at = at[mine]
+            number = np.cumsum(places, dtype=np.int32)
+            ranks = _large(row["ranks"], "i8", int(number[-1]))[number[at[:, None] + shifts[at % v]] - 1]
+            yield from _dealt(row["block"], bucket[mine], letters[mine], ranks, (at % v).astype(np.uint16))
 
         return rows(work)
 
-    def sorted_in_turns(source: DataFrame, suffixes, answer, to: str) -> DataFrame:
-        for turn in range(PASSES):
-            source.mapInArrow(suffixes(turn), _DEALT).groupBy("bucket").applyInArrow(answer, _ANSWERED).write.mode("append").parquet(to)
-        return _by_block(spark.read.parquet(to))
-
-    found = sorted_in_turns(known, cover_suffixes, _ranked(depth), cover_path)
+    known.mapInArrow(rows(cover_suffixes), _DEALT).groupBy("bucket").applyInArrow(_ranked(depth), _ANSWERED).write.parquet(cover_path)
+    found = _by_block(spark.read.parquet(cover_path))
     known.join(found, "block", "left").mapInArrow(rows(ranks_of), "block long, ranks binary").write.parquet(ranks_path)
-    with_ranks = known.join(spark.read.parquet(ranks_path).hint("shuffle_hash"), "block")
-    equal = sorted_in_turns(with_ranks, bucket_suffixes, _resolved(match), equal_path)
+    ranked = known.join(spark.read.parquet(ranks_path).hint("shuffle_hash"), "block")
+    for turn in range(PASSES):
+        ranked.mapInArrow(bucket_suffixes(turn), _DEALT).groupBy("bucket").applyInArrow(_resolved(match), _ANSWERED).write.mode("append").parquet(equal_path)
+    equal = _by_block(spark.read.parquet(equal_path))
 
     def cut(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
         state = State(row)
@@ -496,8 +509,7 @@ def _cut(blocks: DataFrame, total: int, match: int, with_text: bool, made: list[
         yield pa.RecordBatch.from_arrays([pa.array(row["h1"], pa.int64()), pa.array(row["h2"], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests), pa.array(kept, pa.string())], ["h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     done_path = session.scratch(spark, "repeats-done")
-    both = blocks.join(states.drop("heads").hint("shuffle_hash"), "block").join(equal, "block", "left")
-    both.mapInArrow(rows(cut), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").write.parquet(done_path)
+    states.drop("heads").join(equal, "block", "left").mapInArrow(rows(cut), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").write.parquet(done_path)
     return done_path
 
 
