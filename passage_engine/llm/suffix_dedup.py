@@ -81,6 +81,9 @@ def difference_cover(most: int) -> tuple[int, tuple[int, ...]]:
 class Block:
     """The texts of a block and the keys of their suffixes."""
 
+    #: Bytes compared at once.
+    COMPARED = 1 << 20
+
     def __init__(self, payload: bytes, lengths: list[int], match: int):
         self.match, self.raw = match, np.frombuffer(payload, np.uint8)
         self.ends = np.cumsum(np.array(lengths, np.int64))
@@ -116,12 +119,28 @@ class Block:
         return np.ndarray(shape, f"S{length}", self.raw, strides=(1,))[at]
 
     def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the first bytes from a and from b, as many as match, are the same."""
-        width = 8 if self.match >= 8 else 1
-        words = np.ndarray((max(0, len(self.raw) - width + 1),), f"u{width}", self.raw, strides=(1,))
-        same = np.ones(len(a), bool)
-        for k in [*range(0, self.match - width, width), self.match - width]:
-            same &= words[a + k] == words[b + k]
+        """Whether the bytes from a and from b, as many as match, are the same.
+
+        Neighbours at one distance from their partners are a run, whose bytes are compared once.
+        """
+        same = a == b
+        rest = np.flatnonzero(~same)
+        if not len(rest):
+            return same
+        at, apart = a[rest], (a - b)[rest]
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(apart) != 0)]))
+        count = np.diff(np.append(begin, len(at)))
+        size = count + self.match - 1
+        share = np.cumsum(size) // self.COMPARED
+        equal = np.zeros(len(begin), bool)
+        for runs in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(share)) + 1):
+            offsets = np.cumsum(size[runs]) - size[runs]
+            places = np.arange(size[runs].sum()) + np.repeat(at[begin[runs]] - offsets, size[runs])
+            alike = self.raw[places] == self.raw[places - np.repeat(apart[begin[runs]], size[runs])]
+            equal[runs] = np.logical_and.reduceat(alike, offsets)
+        same[rest] = np.repeat(equal, count)
+        for k in rest[np.repeat(~equal, count)].tolist():  # a run that differs somewhere: each of its suffixes by itself
+            same[k] = np.array_equal(self.raw[a[k] : a[k] + self.match], self.raw[b[k] : b[k] + self.match])
         return same
 
     def classes(self, bits: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -365,8 +384,15 @@ def _resolved(match: int):
         width = shifts.shape[1]
         ranks = np.concatenate([_large(x, "i8", n * width).reshape(width, n).T for x, n in zip(table.column("ranks").to_pylist(), sizes, strict=True)])
         residues = np.concatenate([_large(x, "u2", n) for x, n in zip(table.column("residues").to_pylist(), sizes, strict=True)])
-        known, rank = np.unique(ranks, return_inverse=True)
-        ties = ((letters[:, None] * v + shifts[residues]) * len(known) + rank.reshape(ranks.shape)).ravel()
+        # Ranks as small numbers: as they are where they fit beside letters and shift, else numbered anew.
+        low, high = ranks & 0xFFFFFFFF, ranks >> 32
+        most = (int(high.max()) + 1) * (int(low.max()) + 1)
+        if (int(number[-1]) + 1) * v * most < 1 << 63:
+            rank = high * (int(low.max()) + 1) + low
+        else:
+            known, rank = np.unique(ranks, return_inverse=True)
+            rank, most = rank.reshape(ranks.shape), len(known)
+        ties = ((letters[:, None] * v + shifts[residues]) * most + rank).ravel()
         by = np.argsort(ties)
         same = ties[by][1:] == ties[by][:-1]
         equal = np.zeros(len(ties), bool)
