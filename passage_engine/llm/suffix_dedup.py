@@ -8,7 +8,7 @@ that any two positions i, j have a shift s < v with both i + s and j + s in the
    key lets through by a hash of their first MATCH bytes. Hashes only leave out suffixes that cannot repeat: equal strings
    have equal hashes. Nothing is taken as repeated because of a hash.
 2. Blocks. Within a block, suffixes of one key are compared byte by byte with the first of them; equal ones are one class,
-   and a class goes to the other blocks once.
+   and a class goes to the other blocks once. Steps 3 and 4 read the bytes of these suffixes alone, not whole blocks.
 3. Cover ranks. For the classes that other blocks may have too, the suffixes at the positions of a narrow cover (modulo
    ``v`` of about MATCH / 12) are sorted by their first MATCH - v + 1 bytes, one range of leading letters at a time, and ranked.
 4. Suffix buckets. The suffixes themselves are sorted one range of leading letters at a time, by their first v - 1 and the
@@ -159,7 +159,11 @@ class Block:
         strays = np.flatnonzero(~self._equal(at, first[of]))  # one key, other bytes
         of[strays] = len(first) + np.arange(len(strays))
         first, asked = np.concatenate([first, at[strays]]), np.concatenate([asked, np.ones(len(strays), bool)])
-        return at, of, first, np.bincount(of, minlength=len(first)) > 1, asked
+        by = np.argsort(first)  # classes in the order of their places
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        of = number[of]
+        return at, of, first[by], np.bincount(of, minlength=len(first)) > 1, asked[by]
 
 
 def narrow_cover(match: int) -> tuple[int, np.ndarray]:
@@ -293,23 +297,62 @@ def _large(data: bytes, kind: str, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True) if size else b"", kind)
 
 
+def _steps(x: np.ndarray) -> bytes:
+    return _small(np.diff(x, prepend=0).astype(np.int32))
+
+
+def _summed(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_large(data, "i4", n), dtype=np.int64)
+
+
 class State:
     """What a block keeps of its classes between the passes."""
 
-    SCHEMA = "block long, h1 array<long>, h2 array<long>, copies array<long>, lengths array<int>, payload binary, n int, at binary, of binary, classes int, first binary, twice binary, asked binary, heads array<binary>"
+    #: ``bytes`` holds what the suffixes asked for cover, and no other byte of the block; ``places`` where they begin in it.
+    SCHEMA = "block long, n int, at binary, of binary, classes int, twice binary, asked binary, wanted int, places binary, bytes binary, heads array<binary>"
 
     @staticmethod
     def row(block: Block, bits: bytes, more: bytes) -> dict:
         at, of, first, twice, asked = block.classes(bits, more)
-        heads = first[asked][::SPARSE]
-        steps = [_small(np.diff(x, prepend=0).astype(np.int32)) for x in (at, of, first)]
-        letters = [block.raw[h : h + min(LETTERS, block.match)].tobytes() for h in heads.tolist()]
-        return {"n": len(at), "at": steps[0], "of": steps[1], "classes": len(first), "first": steps[2], "twice": np.packbits(twice).tobytes(), "asked": np.packbits(asked).tobytes(), "heads": letters}
+        wanted = first[asked]
+        held = _covered(wanted, wanted + block.match, len(block.raw))
+        places = (np.cumsum(held) - 1)[wanted]
+        letters = [block.raw[h : h + min(LETTERS, block.match)].tobytes() for h in wanted[::SPARSE].tolist()]
+        flags = {"twice": np.packbits(twice).tobytes(), "asked": np.packbits(asked).tobytes()}
+        return flags | {"n": len(at), "at": _steps(at), "of": _steps(of), "classes": len(first), "wanted": len(wanted), "places": _steps(places), "bytes": block.raw[held].tobytes(), "heads": letters}
 
     def __init__(self, row: dict):
-        n, classes = row["n"], row["classes"]
-        self.at, self.of, self.first = (np.cumsum(_large(row[c], "i4", k), dtype=np.int64) for c, k in (("at", n), ("of", n), ("first", classes)))
-        self.twice, self.asked = _unpacked(row["twice"], classes), _unpacked(row["asked"], classes)
+        self.at, self.of = (_summed(row[c], row["n"]) for c in ("at", "of"))
+        self.twice, self.asked = (_unpacked(row[c], row["classes"]) for c in ("twice", "asked"))
+
+
+class Asked:
+    """The suffixes that a block asks the others for. Their places, and so their residues, are those in ``State``'s bytes."""
+
+    def __init__(self, row: dict, match: int):
+        self.block, self.at = Block(row["bytes"], [len(row["bytes"])], match), _summed(row["places"], row["wanted"])
+        self.v, self.shifts = narrow_cover(match)
+        self.depth = match - self.v + 1
+
+    def cover(self) -> np.ndarray:
+        """Whether each byte begins one of the cover's suffixes within those asked for."""
+        begins = np.zeros(len(self.block.raw), bool)
+        begins[self.at[:, None] + self.shifts[self.at % self.v]] = True
+        return begins
+
+    def cover_strings(self) -> np.ndarray:
+        return self.block.strings(np.flatnonzero(self.cover()), self.depth)
+
+    def ranks(self, ranks: bytes) -> np.ndarray:
+        """Of each suffix asked for, the ranks of the cover's suffixes within it."""
+        number = np.cumsum(self.cover(), dtype=np.int32)
+        known = _large(ranks, "i8", int(number[-1]) if len(number) else 0)
+        return known[number[self.at[:, None] + self.shifts[self.at % self.v]] - 1]
+
+    def letters(self) -> np.ndarray:
+        """The first and the last letters of each suffix, beyond which its ranks speak."""
+        both = [self.block.strings(x, self.v - 1).view(np.uint8).reshape(len(x), self.v - 1) for x in (self.at, self.at + self.depth)]
+        return np.ascontiguousarray(np.concatenate(both, axis=1)).view(f"S{2 * (self.v - 1)}").ravel()
 
 
 class Ranges:
@@ -419,8 +462,8 @@ def _by_block(parts: DataFrame) -> DataFrame:
 def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_text: bool, made: list[str]) -> str:
     """Where the results of all texts in the blocks are written; tables to be removed after are added to ``made``.
 
-    The blocks with what is known of their suffixes are table ``name``, dealt to as many buckets as the blocks, so that no
-    step moves them.
+    What is known of the blocks' suffixes is table ``name``, dealt to as many buckets as the blocks, so that no step moves
+    either. Whole texts are read to find the suffixes and to cut; all between reads the bytes of the suffixes asked for.
     """
     spark = blocks.sparkSession
     modulus, cover = difference_cover(max(7, match * 4 // 5))
@@ -440,6 +483,14 @@ def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_
 
         return run
 
+    def asked_rows(work):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield from work(Asked(row, match), row)
+
+        return run
+
     def sampled_keys(row: dict) -> np.ndarray:
         return Block(row["payload"], row["lengths"], match).sampled()[1][0]
 
@@ -447,7 +498,7 @@ def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_
         return Block(row["payload"], row["lengths"], match).suffixes(_joined_bits(row["first"]))[1][0]
 
     def pruned(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
-        kept = row | State.row(block, _joined_bits(row["first"]), _joined_bits(row["second"]))
+        kept = {"block": row["block"]} | State.row(block, _joined_bits(row["first"]), _joined_bits(row["second"]))
         yield pa.RecordBatch.from_pylist([{c: kept[c] for c in held.names}], schema=held)
 
     held = to_arrow_schema(StructType.fromDDL(State.SCHEMA))
@@ -457,8 +508,8 @@ def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_
     first = spark.read.parquet(first_path).hint("shuffle_hash")
     _asked(texts_of.join(first, "block"), 4 * buckets, suffix_keys).withColumnRenamed("answers", "second").write.parquet(second_path)
     second = spark.read.parquet(second_path).hint("shuffle_hash")
-    blocks.join(first, "block").join(second, "block", "left").mapInArrow(rows(pruned), State.SCHEMA).write.bucketBy(dealt, "block").option("path", state_path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    for done in (*made[:1], first_path, second_path):
+    texts_of.join(first, "block").join(second, "block", "left").mapInArrow(rows(pruned), State.SCHEMA).write.bucketBy(dealt, "block").option("path", state_path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    for done in (first_path, second_path):
         session.remove(spark, done)
 
     states = spark.table(name)
@@ -468,50 +519,28 @@ def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_
     suffixes = len(heads) * sparse * SPARSE
     cover_ranges = Ranges(heads, max(8, suffixes * shifts.shape[1] * depth // (v * SORTED)))
     suffix_ranges = Ranges(heads, max(8, suffixes * (2 * v + 8 * shifts.shape[1]) // SORTED))
-    known = states.select("block", "lengths", "payload", "n", "at", "of", "classes", "first", "twice", "asked")
+    known = states.select("block", "wanted", "places", "bytes")
 
-    def placed(block: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
-        """First positions of the classes asked, and whether each byte begins one of the cover's suffixes within them."""
-        state = State(row)
-        at = state.first[state.asked]
-        places = np.zeros(len(block.raw), bool)
-        places[at[:, None] + shifts[at % v]] = True
-        return at, places
-
-    def cover_strings(block: Block, row: dict) -> tuple[np.ndarray, np.ndarray]:
-        """The strings of the cover's suffixes, sorted, and the number of each place among them."""
-        return np.unique(block.strings(np.flatnonzero(placed(block, row)[1]), depth), return_inverse=True)
-
-    def cover_suffixes(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
-        keys = cover_strings(block, row)[0]
+    def cover_suffixes(asked: Asked, row: dict) -> Iterator[pa.RecordBatch]:
+        keys = asked.cover_strings()
         yield from _dealt(row["block"], cover_ranges.of(keys), keys)
 
-    def ranks_of(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
-        keys, of = cover_strings(block, row)
-        ranks = _in_order(cover_ranges.of(keys), row["found"], lambda x, n: _large(x, "i8", n))[of]
+    def ranks_of(asked: Asked, row: dict) -> Iterator[pa.RecordBatch]:
+        ranks = _in_order(cover_ranges.of(asked.cover_strings()), row["found"], lambda x, n: _large(x, "i8", n))
         yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([_small(ranks)], pa.binary())], ["block", "ranks"])
 
-    def letters_of(block: Block, at: np.ndarray) -> np.ndarray:
-        """The first and the last letters of each suffix, beyond which its ranks speak."""
-        both = [block.strings(x, v - 1).view(np.uint8).reshape(len(at), v - 1) for x in (at, at + depth)]
-        return np.ascontiguousarray(np.concatenate(both, axis=1)).view(f"S{2 * (v - 1)}").ravel()
-
     def bucket_suffixes(turn: int):
-        def work(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
-            at, places = placed(block, row)
-            letters = letters_of(block, at)
+        def work(asked: Asked, row: dict) -> Iterator[pa.RecordBatch]:
+            letters = asked.letters()
             bucket = suffix_ranges.of(letters)
             mine = bucket * PASSES // suffix_ranges.buckets == turn
-            at = at[mine]
-            number = np.cumsum(places, dtype=np.int32)
-            ranks = _large(row["ranks"], "i8", int(number[-1]))[number[at[:, None] + shifts[at % v]] - 1]
-            yield from _dealt(row["block"], bucket[mine], letters[mine], ranks, (at % v).astype(np.uint16))
+            yield from _dealt(row["block"], bucket[mine], letters[mine], asked.ranks(row["ranks"])[mine], (asked.at[mine] % v).astype(np.uint16))
 
-        return rows(work)
+        return asked_rows(work)
 
-    known.mapInArrow(rows(cover_suffixes), _DEALT).groupBy("bucket").applyInArrow(_ranked(depth), _ANSWERED).write.parquet(cover_path)
+    known.mapInArrow(asked_rows(cover_suffixes), _DEALT).groupBy("bucket").applyInArrow(_ranked(depth), _ANSWERED).write.parquet(cover_path)
     found = _by_block(spark.read.parquet(cover_path))
-    known.join(found, "block", "left").mapInArrow(rows(ranks_of), "block long, ranks binary").write.parquet(ranks_path)
+    known.join(found, "block", "left").mapInArrow(asked_rows(ranks_of), "block long, ranks binary").write.parquet(ranks_path)
     ranked = known.join(spark.read.parquet(ranks_path).hint("shuffle_hash"), "block")
     for turn in range(PASSES):
         ranked.mapInArrow(bucket_suffixes(turn), _DEALT).groupBy("bucket").applyInArrow(_resolved(match), _ANSWERED).write.mode("append").parquet(equal_path)
@@ -520,8 +549,7 @@ def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_
     def cut(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
         state = State(row)
         again = state.twice.copy()
-        at = state.first[state.asked]
-        again[state.asked] |= _in_order(suffix_ranges.of(letters_of(block, at)), row["found"], _unpacked).astype(bool)
+        again[state.asked] |= _in_order(suffix_ranges.of(Asked(row, match).letters()), row["found"], _unpacked).astype(bool)
         repeated = state.at[again[state.of]]
         gone = _covered(repeated, repeated + match, len(block.raw))
         n_removed, n_spans, digests, kept = [], [], [], []
@@ -535,7 +563,7 @@ def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_
         yield pa.RecordBatch.from_arrays([pa.array(row["h1"], pa.int64()), pa.array(row["h2"], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests), pa.array(kept, pa.string())], ["h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     done_path = session.scratch(spark, "repeats-done")
-    states.drop("heads").join(equal, "block", "left").mapInArrow(rows(cut), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").write.parquet(done_path)
+    blocks.join(states.drop("heads").hint("shuffle_hash"), "block").join(equal, "block", "left").mapInArrow(rows(cut), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept string").write.parquet(done_path)
     return done_path
 
 
