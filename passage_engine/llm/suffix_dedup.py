@@ -16,8 +16,8 @@ that any two positions i, j have a shift s < v with both i + s and j + s in the
    a suffix carries a few letters and ranks, whatever the length of the tie, and a task holds one bucket.
 5. Every suffix that is equal to another one covers MATCH bytes of its document; what is covered is cut out.
 
-The ranges of the suffixes are worked off in ``PASSES`` passes, each of which frees its shuffle, so that one share of them
-is on disk at a time; the cover's suffixes, which are fewer, in one. Ranges come from at most ``HEADS`` sampled suffixes; where these are too few, a range is dealt to several
+The ranges of letters are worked off in ``PASSES`` passes, each of which frees its shuffle, so that one share of the suffixes
+is on disk at a time. Ranges come from at most ``HEADS`` sampled suffixes; where these are too few, a range is dealt to several
 buckets by a hash of the letters. Texts are packed once into blocks of about ``BLOCK`` bytes, in a table bucketed by block,
 so that no later step moves them. A passage that any number of documents share sends one suffix per block. Equal texts,
 told apart by 128 bits, are one text from the start.
@@ -51,7 +51,7 @@ MATCH = 400
 BLOCK, BUCKET = 4 << 20, 8 << 20
 #: Bytes of sorted suffixes meant for a bucket, passes over the ranges of letters, sampled suffixes that divide the ranges
 #: (one of ``SPARSE`` suffixes at most) and their letters.
-SORTED, PASSES, HEADS, SPARSE, LETTERS = 16 << 20, 3, 1 << 16, 1024, 64
+SORTED, PASSES, HEADS, SPARSE, LETTERS = 48 << 20, 6, 1 << 16, 1024, 64
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -297,6 +297,15 @@ def _large(data: bytes, kind: str, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True) if size else b"", kind)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Rows of 64-bit numbers, the first bytes of all before the second ones: the high bytes are mostly equal."""
+    return _small(np.ascontiguousarray(np.ascontiguousarray(x.T).view(np.uint8).reshape(-1, 8).T))
+
+
+def _of_planes(data: bytes, n: int, width: int) -> np.ndarray:
+    return np.ascontiguousarray(_large(data, "u1", 8 * n * width).reshape(8, -1).T).view(np.int64).reshape(width, n).T
+
+
 def _steps(x: np.ndarray) -> bytes:
     return _small(np.diff(x, prepend=0).astype(np.int32))
 
@@ -380,7 +389,7 @@ def _dealt(number: int, bucket: np.ndarray, letters: np.ndarray, ranks: np.ndarr
     order = np.argsort(bucket, kind="stable")
     full, begin = np.unique(bucket[order], return_index=True)
     slices = np.split(order, begin[1:]) if len(full) else []
-    extra = [(b"", b"") if ranks is None else (_small(np.ascontiguousarray(ranks[at].T)), _small(residues[at])) for at in slices]
+    extra = [(b"", b"") if ranks is None else (_planes(ranks[at]), _small(residues[at])) for at in slices]
     columns = [pa.array([number] * len(slices), pa.int64()), pa.array(full, pa.int32()), pa.array([len(at) for at in slices], pa.int32())]
     columns += [pa.array(x, pa.binary()) for x in ([_small(letters[at]) for at in slices], [r for r, _ in extra], [r for _, r in extra])]
     yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "n", "letters", "ranks", "residues"])
@@ -425,7 +434,7 @@ def _resolved(match: int):
         letters = np.empty(len(order), np.int64)
         letters[order] = number
         width = shifts.shape[1]
-        ranks = np.concatenate([_large(x, "i8", n * width).reshape(width, n).T for x, n in zip(table.column("ranks").to_pylist(), sizes, strict=True)])
+        ranks = np.concatenate([_of_planes(x, n, width) for x, n in zip(table.column("ranks").to_pylist(), sizes, strict=True)])
         residues = np.concatenate([_large(x, "u2", n) for x, n in zip(table.column("residues").to_pylist(), sizes, strict=True)])
         # Ranks as small numbers: as they are where they fit beside letters and shift, else numbered anew.
         low, high = ranks & 0xFFFFFFFF, ranks >> 32
@@ -521,9 +530,14 @@ def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_
     suffix_ranges = Ranges(heads, max(8, suffixes * (2 * v + 8 * shifts.shape[1]) // SORTED))
     known = states.select("block", "wanted", "places", "bytes")
 
-    def cover_suffixes(asked: Asked, row: dict) -> Iterator[pa.RecordBatch]:
-        keys = asked.cover_strings()
-        yield from _dealt(row["block"], cover_ranges.of(keys), keys)
+    def cover_suffixes(turn: int):
+        def work(asked: Asked, row: dict) -> Iterator[pa.RecordBatch]:
+            keys = asked.cover_strings()
+            bucket = cover_ranges.of(keys)
+            mine = bucket * PASSES // cover_ranges.buckets == turn
+            yield from _dealt(row["block"], bucket[mine], keys[mine])
+
+        return asked_rows(work)
 
     def ranks_of(asked: Asked, row: dict) -> Iterator[pa.RecordBatch]:
         ranks = _in_order(cover_ranges.of(asked.cover_strings()), row["found"], lambda x, n: _large(x, "i8", n))
@@ -538,7 +552,8 @@ def _cut(blocks: DataFrame, name: str, dealt: int, total: int, match: int, with_
 
         return asked_rows(work)
 
-    known.mapInArrow(asked_rows(cover_suffixes), _DEALT).groupBy("bucket").applyInArrow(_ranked(depth), _ANSWERED).write.parquet(cover_path)
+    for turn in range(PASSES):
+        known.mapInArrow(cover_suffixes(turn), _DEALT).groupBy("bucket").applyInArrow(_ranked(depth), _ANSWERED).write.mode("append").parquet(cover_path)
     found = _by_block(spark.read.parquet(cover_path))
     known.join(found, "block", "left").mapInArrow(asked_rows(ranks_of), "block long, ranks binary").write.parquet(ranks_path)
     ranked = known.join(spark.read.parquet(ranks_path).hint("shuffle_hash"), "block")
