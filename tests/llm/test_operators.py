@@ -224,6 +224,46 @@ def test_suffix_buckets_resolve_ties_by_ranks():
     assert got.tolist() == want and any(want) and not all(want)
 
 
+def stretches(raw, at, match, n):
+    """Slices of the suffixes of a block of its own: bucket, suffixes in each run, bytes."""
+    row = {"bytes": raw, "places": suffix_dedup._steps(at), "wanted": len(at)}
+    asked = suffix_dedup.Asked(row, match)
+    return asked.buckets(n), list(asked.stretches(asked.buckets(n)))
+
+
+def test_suffixes_go_to_buckets_as_stretches():
+    """Equal suffixes of two blocks meet in a bucket, and neighbours take little more room than the text they are in."""
+    match, rng = 400, np.random.default_rng(8)
+    shared = rng.integers(97, 123, 40_000, np.uint8).tobytes()
+    a, b = shared, rng.integers(97, 123, 777, np.uint8).tobytes() + shared
+    at = np.arange(len(shared) - match + 1)
+    (of_a, parts), (of_b, _) = stretches(a, at, match, 64), stretches(b, at + 777, match, 64)
+    assert (of_a == of_b).all() and len(set(of_a.tolist())) > 32
+    assert sum(len(data) for _, _, data in parts) < 6 * len(at)  # letters and ranks took 110 bytes each
+    for bucket, count, data in parts:
+        got, low = [], 0
+        for c in count.tolist():
+            got += [data[low + k : low + k + match] for k in range(c)]
+            low += c + match - 1
+        assert low == len(data) and got == [a[k : k + match] for k in at[of_a == bucket]]
+    assert stretches(b"", np.zeros(0, np.int64), match, 8)[1] == []
+
+
+def test_suffixes_are_sorted_in_ranges(monkeypatch):
+    """The same answer from many ranges of letters as from one, and as from the whole strings."""
+    match, rng = 60, np.random.default_rng(9)
+    pool = [rng.integers(97, 99, 150, np.uint8).tobytes() for _ in range(20)] + [b"a" * 150, b"\0" * 150, b"\0" * 90 + b"b" * 60]
+    raw = b"".join(pool[k] for k in rng.integers(0, len(pool), 60))
+    at = np.sort(rng.choice(len(raw) - match + 1, 3000, replace=False))
+    seen = Counter(raw[k : k + match] for k in at)
+    want = [seen[raw[k : k + match]] > 1 for k in at]
+    assert any(want) and not all(want)
+    for most, sparse in ((1 << 19, 256), (200, 16), (40, 1000)):
+        monkeypatch.setattr(suffix_dedup, "SORTED", most)
+        monkeypatch.setattr(suffix_dedup, "SPARSE", sparse)
+        assert suffix_dedup._repeated(suffix_dedup.Block(raw, [len(raw)], match), at).tolist() == want
+
+
 def test_suffix_ranges_keep_equal_letters_together():
     letters = np.sort(np.array([b"aa", b"ab", b"ab", b"b\0", b"ca", b"cb"], "S2"))
     for heads, wanted in (([], 1), ([], 5), ([b"ab", b"b", b"ca"], 3), ([b"ab"], 9)):
