@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from passage_engine.llm import agenda_bpe, embedding_dedup, fingerprints, line_dedup, minhash, mixing, quality, simple8b, suffix_dedup, token_counts, token_files
 from passage_engine.llm.components import components
-from passage_engine.llm.queries import vocabulary
+from passage_engine.llm.queries import op5_suffix_dedup, vocabulary
 
 WORDS = "the of and harbor tide moon café naïve straße lamp keeper dusk storm rope anchor sail deck crew port star".split()
 
@@ -181,6 +181,19 @@ def test_suffix_dedup(spark, docs, none, monkeypatch):
     assert suffix_dedup.repeats(none).count() == 0
 
 
+def test_suffix_passages_below_the_match_stay(spark, tmp_path):
+    """A shared passage of over 50 words goes from 400 bytes on, as the query's contract fixes it; a shorter match takes it too."""
+    r = random.Random(10)
+    short, long, clean = ("".join(r.choices("abcdefgh", k=5)) + "".join(" " + "".join(r.choices("abcdefgh", k=5)) for _ in range(66)) for _ in range(3))
+    short, long = short[:399], long[:400]
+    assert min(len(short.split()), len(long.split())) > 50
+    texts = [f"1{short}2", f"3{short}4", f"5{long}6", f"7{long}8", clean]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["n_removed"] for r in op5_suffix_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [0, 0, 400, 400, 0]
+    assert [r["n_removed"] for r in suffix_dedup.repeats(docs, match=200).orderBy("doc_id").collect()] == [399, 399, 400, 400, 0]
+
+
 def test_difference_cover():
     for most in (7, 60, 320):
         v, cover = suffix_dedup.difference_cover(most)
