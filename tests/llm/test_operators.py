@@ -102,6 +102,36 @@ def test_sentencepiece(docs, none):
         assert [i for u in units for i in u[0]] == sp.encode(t)
 
 
+def test_agendas_of_many_units_are_those_of_each(monkeypatch):
+    m = agenda_bpe.AgendaModel(vocabulary("piece_bpe_32k.model"))
+    r = random.Random(12)
+    parts = [*"aeinrst", "th", "er", "ß", "é", "日", "😀", "\n", "\x00", "1", "$$", ".", "▁", "ing"]
+    units = [agenda_bpe.SPACE + "".join(r.choice(parts) for _ in range(r.randrange(24))) for _ in range(3000)] + ["\n", "\ntide", agenda_bpe.SPACE]
+    monkeypatch.setattr(agenda_bpe, "TOGETHER", 700)
+    assert m.encode_together(units) == [m.encode_unit(u) for u in units] and m.encode_together([]) == []
+    # Equal scores are joined from the left, and characters that are no piece stay characters.
+    m.cost = {p: float(x // 4000) for p, x in m.cost.items()}
+    del m.ids["e"]
+    m._number()
+    assert m.encode_together(units) == [m.encode_unit(u) for u in units]
+
+
+def test_units_of_a_full_table_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(agenda_bpe, "TABLE_UNITS", 3)
+    m = agenda_bpe.AgendaModel(vocabulary("piece_bpe_32k.model"))
+    monkeypatch.setitem(agenda_bpe._models, "here", m)
+    met, together = [], m.encode_together
+    monkeypatch.setattr(m, "encode_together", lambda units: met.append(sorted(units)) or together(units))
+    for text in ("a b c d", "a e", "x y z", "a b", "w"):
+        assert [i for u in agenda_bpe.encode_texts([text], "here")[0] for i in u[0]] == m.library.encode(text)
+    assert met == [["▁a", "▁b", "▁c", "▁d"], ["▁e"], ["▁x", "▁y", "▁z"], ["▁b"], ["▁w"]] and len(m.table) <= 4
+    # A unit that differs from the library stops the job and leaves nothing behind.
+    monkeypatch.setattr(m, "encode_together", lambda units: [(1,) for _ in units])
+    with pytest.raises(ValueError, match="differ"):
+        agenda_bpe.encode_texts(["tide"], "here")
+    assert not m.table and not m.table.fresh and not m.table.old
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"])
 def test_token_counts(docs, none, name, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK_CHARS", 700)
